@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replipulse.functions import text
-from replipulse.model import CONNECTION_COLUMNS, LINK_COLUMNS, POD_COLUMNS, SUMMARY_COLUMNS
+from replipulse.model import (
+    CONNECTION_COLUMNS,
+    LINK_COLUMNS,
+    NOT_AVAILABLE,
+    POD_COLUMNS,
+    SUMMARY_COLUMNS,
+)
 from replipulse.operators import detail, nested, status
 from replipulse.plans import report
 from replipulse.plans.testbed import KEY, PAGE, POD_PAGE, POD_PLACE, Testbed
@@ -200,9 +206,10 @@ def link_display(bed: Testbed) -> DataFrame:
 
 def _pod_rows(bed: Testbed, blank: bool) -> DataFrame:
     listed = status.with_status(bed.arrays(), status.pod_health(_pods(bed), KEY, POD_PAGE), KEY)
-    arrays = listed.filter(F.col("sync_pods") != "N/A")
-    rows = detail.pod_detail(arrays, bed.pods(), KEY, POD_PLACE, blank_repeats=blank)
-    return rows.orderBy("site_pos", *detail.pod_order(POD_PLACE))
+    arrays = kept(listed.filter(F.col("sync_pods") != NOT_AVAILABLE), "arrays-with-pods")
+    return detail.pod_detail(
+        arrays, bed.pods(), KEY, POD_PLACE, blank_repeats=blank, ordered=True
+    )
 
 
 @registered
