@@ -233,7 +233,7 @@ def pod_display(bed: Testbed) -> DataFrame:
 
 def _report(bed: Testbed) -> tuple[DataFrame, DataFrame]:
     statuses = kept(_statuses(bed), "statuses")
-    summary = status.site_summary(bed.sites(), statuses)
+    summary = kept(status.site_summary(bed.sites(), statuses), "summary")
     sections = report.report_sections(
         summary, statuses, bed.capacity(), bed.connections(), bed.links(), bed.pods(),
         KEY, PAGE, POD_PLACE,

@@ -5,6 +5,9 @@ Rows of the big tables become pages of polls, row by row and without a shuffle,
 so the derived tables grow with their sources. Array numbers are quadratic
 residues of a key modulo the number of suppliers: some arrays own several times
 the average number of records and others none, as the status rules need.
+
+``wanted`` fields leave out the rest of a record, as a scan of a landed table
+would prune it.
 """
 
 from __future__ import annotations
@@ -12,10 +15,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from replipulse.functions.text import epoch_micros
 from replipulse.operators.joins import join_keeping_childless
 
 KEY = ("array_pos",)
@@ -24,185 +25,152 @@ POD_PAGE = ("page", "part", "supp")
 # Rows of lineitem may repeat all of these; their place in the files settles ties.
 POD_PLACE = (*POD_PAGE, "file", "file_row")
 
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def _epoch_ms(moment: str) -> str:
+    age = f"cast({moment} - {_EPOCH} AS interval second)"
+    return f"bigint(cast({age} AS decimal(18, 3)) * 1000)"
 
-def _record(fields: dict[str, Column], wanted: Sequence[str] | None) -> Column:
-    """A record of the wanted fields, as a scan of a landed table would prune it."""
-    return F.struct(*[fields[name].alias(name) for name in wanted or fields])
+
+def _record(fields: dict[str, str], wanted: Sequence[str] | None) -> str:
+    pairs = ", ".join(f"'{name}', {fields[name]}" for name in wanted or fields)
+    return f"named_struct({pairs})"
 
 
 class Testbed:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
     def suppliers(self) -> int:
         return self.table("supplier").count()
 
-    def array_number(self, key: str, shift: int) -> Column:
-        rest = F.col(key) % self.suppliers
-        return (rest * rest + shift) % self.suppliers
+    def array_number(self, key: str, shift: int) -> str:
+        rest = f"({key} % {self.suppliers})"
+        return f"({rest} * {rest} + {shift}) % {self.suppliers} AS array_pos"
 
     # F1
     def sites(self) -> DataFrame:
-        return self.table("nation").select(
-            F.col("n_nationkey").alias("site_pos"), F.col("n_name").alias("site")
-        )
+        return self.table("nation").selectExpr("n_nationkey AS site_pos", "n_name AS site")
 
     def identity(self) -> DataFrame:
-        return self.table("supplier").select(
-            F.col("s_suppkey").alias("array_pos"),
-            F.concat(F.lit("6."), F.col("s_suppkey") % 7).alias("version"),
+        return self.table("supplier").selectExpr(
+            "s_suppkey AS array_pos", "concat('6.', s_suppkey % 7) AS version"
         )
 
     def inventory(self) -> DataFrame:
         """One row per array; sites without arrays keep one row without an array."""
-        arrays = self.table("supplier").select(
-            F.col("s_nationkey").alias("site_pos"),
-            F.col("s_suppkey").alias("array_pos"),
-            F.col("s_name").alias("array"),
-            F.concat_ws(
-                ".",
-                F.lit("10.0"),
-                F.floor(F.col("s_suppkey") / 256) % 256,
-                F.col("s_suppkey") % 256,
-            ).alias("mgmt_ip"),
+        arrays = self.table("supplier").selectExpr(
+            "s_nationkey AS site_pos",
+            "s_suppkey AS array_pos",
+            "s_name AS array",
+            "concat_ws('.', '10.0', s_suppkey div 256 % 256, s_suppkey % 256) AS mgmt_ip",
         )
         return join_keeping_childless(self.sites(), arrays, ["site_pos"])
 
     def arrays(self) -> DataFrame:
         """Configured arrays with their own version, without the empty sites."""
-        return (
-            self.table("supplier")
-            .select(
-                F.col("s_nationkey").alias("site_pos"),
-                F.col("s_suppkey").alias("array_pos"),
-                F.col("s_name").alias("array"),
-                F.concat(F.lit("6."), F.col("s_suppkey") % 7).alias("version"),
-            )
-            .join(self.sites(), "site_pos")
+        arrays = self.table("supplier").selectExpr(
+            "s_nationkey AS site_pos",
+            "s_suppkey AS array_pos",
+            "s_name AS array",
+            "concat('6.', s_suppkey % 7) AS version",
         )
+        return arrays.join(self.sites(), "site_pos")
 
     # F2
     def capacity(self) -> DataFrame:
         per_array = (
             self.table("lineitem")
-            .select(
-                F.col("l_suppkey").alias("array_pos"),
-                F.col("l_quantity").cast("bigint").alias("size"),
-                (F.col("l_linestatus") == "F").alias("used"),
+            .selectExpr(
+                "l_suppkey AS array_pos",
+                "bigint(l_quantity) AS size",
+                "if(l_linestatus = 'F', bigint(l_quantity), 0L) AS used",
                 "l_linenumber",
             )
             .groupBy("array_pos")
-            .agg(
-                F.sum("size").alias("capacity"),
-                F.coalesce(F.sum(F.when(F.col("used"), F.col("size"))), F.lit(0)).alias("total"),
-                F.sum("l_linenumber").alias("lines"),
-                F.count(F.lit(1)).alias("rows"),
-            )
+            .agg({"size": "sum", "used": "sum", "l_linenumber": "avg"})
         )
-        number = F.col("array_pos")
-        unit = F.when(number % 3 == 0, 1).when(number % 3 == 1, 1024).otherwise(1048576)
-        no_use = number % 20 == 0
-        no_capacity = number % 50 == 7
-        return per_array.select(
+        unit = "CASE array_pos % 3 WHEN 0 THEN 1 WHEN 1 THEN 1024 ELSE 1048576 END"
+        return per_array.selectExpr(
             "array_pos",
-            F.struct(
-                F.when(no_use, F.lit(0)).otherwise(F.col("total") * unit).alias("total"),
-                F.when(no_capacity, F.lit(0)).otherwise(F.col("capacity") * unit).alias("capacity"),
-                (F.col("lines") / F.col("rows")).alias("data_reduction"),
-            ).alias("space"),
+            f"""named_struct(
+                'total', if(array_pos % 20 = 0, 0L, `sum(used)` * {unit}),
+                'capacity', if(array_pos % 50 = 7, 0L, `sum(size)` * {unit}),
+                'data_reduction', `avg(l_linenumber)`) AS space""",
         )
 
     # F3
     def connections(self, wanted: Sequence[str] | None = None) -> DataFrame:
-        bad = (
-            (F.col("l_returnflag") == "R")
-            & (F.col("l_linestatus") == "F")
-            & (F.col("l_quantity") == 50)
-            & (F.col("l_linenumber") == 7)
-        )
-        missing = (
-            (F.col("l_returnflag") == "A")
-            & (F.col("l_linestatus") == "F")
-            & (F.col("l_quantity") == 1)
-            & (F.col("l_linenumber") == 1)
-            & (F.col("l_tax") == 0)
-        )
-        partner = F.col("l_partkey")
         fields = {
-            "array_name": F.concat(F.lit("remote-"), partner),
-            "version": F.concat(F.lit("6."), partner % 7),
-            "status": F.when(bad, "partially_connected").when(~missing, "connected"),
-            "type": F.when(F.col("l_linestatus") == "F", "async-replication").otherwise(
-                "sync-replication"
-            ),
-            "throttled": F.when(F.col("l_tax") > 0.05, "true").otherwise("false"),
-            "management_address": F.concat(F.lit("10.1."), partner % 256),
-            "replication_address": F.concat(F.lit("10.2."), partner % 256),
-            "id": F.col("l_orderkey").cast("string"),
+            "array_name": "concat('remote-', l_partkey)",
+            "version": "concat('6.', l_partkey % 7)",
+            "status": """CASE
+                WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity = 50
+                     AND l_linenumber = 7 THEN 'partially_connected'
+                WHEN l_returnflag = 'A' AND l_linestatus = 'F' AND l_quantity = 1
+                     AND l_linenumber = 1 AND l_tax = 0 THEN NULL
+                ELSE 'connected' END""",
+            "type": "if(l_linestatus = 'F', 'async-replication', 'sync-replication')",
+            "throttled": "if(l_tax > 0.05D, 'true', 'false')",
+            "management_address": "concat('10.1.', l_partkey % 256)",
+            "replication_address": "concat('10.2.', l_partkey % 256)",
+            "id": "string(l_orderkey)",
         }
-        number = F.col("array_pos")
+        record = _record(fields, wanted)
         return (
             self.table("lineitem")
-            .withColumn("array_pos", self.array_number("l_suppkey", 0))
-            .select(
+            .selectExpr("*", self.array_number("l_suppkey", 0))
+            .selectExpr(
                 "array_pos",
-                F.col("l_orderkey").alias("page"),
+                "l_orderkey AS page",
                 # Every ninth array answers, but knows no other array.
-                F.slice(
-                    F.array(_record(fields, wanted)), 1, F.when(number % 9 == 0, 0).otherwise(1)
-                ).alias(
-                    "payload"
-                ),
+                f"slice(array({record}), 1, if(array_pos % 9 = 0, 0, 1)) AS payload",
             )
         )
 
     # F4
     def links(self, wanted: Sequence[str] | None = None) -> DataFrame:
-        phase = F.col("o_orderstatus")
-        key = F.col("o_orderkey")
-
-        def dated(month: int, day: int) -> Column:
-            date = F.col("o_orderdate")
-            return (F.month(date) == month) & (F.dayofmonth(date) == day)
+        def dated(phase: str, month: int, day: int) -> str:
+            return (
+                f"o_orderstatus = '{phase}' AND month(o_orderdate) = {month} "
+                f"AND day(o_orderdate) = {day}"
+            )
 
-        def link(i: int) -> Column:
-            status = F.lit("replicating")
+        def link(i: int) -> str:
+            status = "'replicating'"
             if i == 4:
-                status = (
-                    F.when((phase == "P") & dated(12, 31), "unhealthy")
-                    .when((phase == "P") & dated(7, 1), "paused")
-                    .when(~((phase == "O") & dated(1, 1)), "replicating")
-                )
-            remotes = [F.concat(F.lit("remote-"), F.col("o_custkey") % 10)]
-            if i >= 3:
-                remotes.append(F.concat(F.lit("remote-"), F.col("o_custkey") % 10 + i))
-            stamp = F.floor(epoch_micros(F.col("o_orderdate")) / 1000) + key % 86400000 + i
+                status = f"""CASE WHEN {dated("P", 12, 31)} THEN 'unhealthy'
+                    WHEN {dated("P", 7, 1)} THEN 'paused'
+                    WHEN {dated("O", 1, 1)} THEN NULL ELSE 'replicating' END"""
+            second = f", concat('remote-', o_custkey % 10 + {i})" if i >= 3 else ""
+            stamp = f"{_epoch_ms('o_orderdate')} + o_orderkey % 86400000 + {i}"
             fields = {
-                "local_pod_name": F.concat(F.lit("pod-"), F.col("o_custkey")),
-                "direction": F.lit("inbound" if i % 2 else "outbound"),
-                "remote_names": F.array(*remotes),
-                "remote_pod_name": F.concat(F.lit("pod-"), key),
+                "local_pod_name": "concat('pod-', o_custkey)",
+                "direction": "'inbound'" if i % 2 else "'outbound'",
+                "remote_names": f"array(concat('remote-', o_custkey % 10){second})",
+                "remote_pod_name": "concat('pod-', o_orderkey)",
                 "status": status,
-                "recovery_point": F.when(phase != "O", stamp) if i == 3 else stamp,
-                "lag": key % 100000 * 1730 + i,
+                "recovery_point": f"if(o_orderstatus = 'O', NULL, {stamp})" if i == 3 else stamp,
+                "lag": f"o_orderkey % 100000 * 1730 + {i}",
             }
             return _record(fields, wanted)
 
         # The less urgent the order, the fewer links: four down to none.
-        count = F.lit(5) - F.substring("o_orderpriority", 1, 1).cast("int")
-        return (
-            self.table("orders")
-            .withColumn("array_pos", self.array_number("o_custkey", 1))
-            .select(
-                "array_pos",
-                F.col("o_orderkey").alias("page"),
-                F.slice(F.array(*[link(i) for i in range(1, 5)]), 1, count).alias("payload"),
-            )
+        count = "5 - int(substring(o_orderpriority, 1, 1))"
+        links = ", ".join(link(i) for i in range(1, 5))
+        return self.table("orders").selectExpr(
+            self.array_number("o_custkey", 1),
+            "o_orderkey AS page",
+            f"slice(array({links}), 1, {count}) AS payload",
         )
 
     # F5
@@ -211,52 +179,44 @@ class Testbed:
         wanted: Sequence[str] | None = None,
         wanted_of_members: Sequence[str] | None = None,
     ) -> DataFrame:
-        bad = (F.col("l_returnflag") == "R") & (F.col("array_pos") % 3 != 0)
-        stamp = F.floor(epoch_micros(F.col("l_shipdate")) / 1000) + F.col("l_orderkey") % 86400000
-        mediator = (
-            F.when(F.col("l_quantity") == 50, "unreachable")
-            .when(F.col("l_quantity") == 49, "flummoxed")
-            .otherwise("online")
-        )
+        bad = "l_returnflag = 'R' AND array_pos % 3 <> 0"
+        frozen = f"{_epoch_ms('l_shipdate')} + l_orderkey % 86400000"
 
-        def member(i: int) -> Column:
+        def member(i: int) -> str:
             troubled = {2: "offline", 3: "unknown"}.get(i)
             fields = {
-                "name": F.concat(F.lit("array-"), F.col("l_suppkey") + i),
-                "status": (
-                    F.when(bad, troubled).otherwise("online") if troubled else F.lit("online")
+                "name": f"concat('array-', l_suppkey + {i})",
+                "status": f"if({bad}, '{troubled}', 'online')" if troubled else "'online'",
+                "mediator_status": (
+                    "CASE l_quantity WHEN 50 THEN 'unreachable' WHEN 49 THEN 'flummoxed' "
+                    "ELSE 'online' END"
                 ),
-                "mediator_status": mediator,
-                "pre_elected": F.lit("false"),
-                "frozen_at": F.when(bad, stamp) if i == 2 else F.lit(None).cast("bigint"),
+                "pre_elected": "'false'",
+                "frozen_at": f"if({bad}, {frozen}, NULL)" if i == 2 else "bigint(NULL)",
             }
             return _record(fields, wanted_of_members)
 
-        members = F.slice(
-            F.array(*[member(i) for i in range(1, 7)]), 1, F.col("l_linenumber") - 1
-        )
+        members = ", ".join(member(i) for i in range(1, 7))
         fields = {
-            "name": F.concat(F.lit("pod-"), F.col("l_orderkey")),
-            "source": F.lit(None).cast("string"),
-            "promotion_status": F.when(F.col("l_linestatus") == "F", "promoted").otherwise(
-                "demoted"
-            ),
-            "requested_promotion_state": F.lit("promoted"),
-            "link_source_count": F.lit(0),
-            "link_target_count": F.lit(0),
-            "arrays": members,
+            "name": "concat('pod-', l_orderkey)",
+            "source": "string(NULL)",
+            "promotion_status": "if(l_linestatus = 'F', 'promoted', 'demoted')",
+            "requested_promotion_state": "'promoted'",
+            "link_source_count": "0",
+            "link_target_count": "0",
+            "arrays": f"slice(array({members}), 1, l_linenumber - 1)",
         }
         return (
             self.table("lineitem")
-            .withColumn("array_pos", self.array_number("l_suppkey", 2))
-            .select(
+            .selectExpr("*", self.array_number("l_suppkey", 2), "_metadata")
+            .selectExpr(
                 "array_pos",
-                (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("page"),
-                F.col("l_partkey").alias("part"),
-                F.col("l_suppkey").alias("supp"),
-                F.xxhash64("_metadata.file_path").alias("file"),
-                F.col("_metadata.row_index").alias("file_row"),
-                F.array(_record(fields, wanted)).alias("payload"),
+                "l_orderkey * 8 + l_linenumber AS page",
+                "l_partkey AS part",
+                "l_suppkey AS supp",
+                "xxhash64(_metadata.file_path) AS file",
+                "_metadata.row_index AS file_row",
+                f"array({_record(fields, wanted)}) AS payload",
             )
         )
 
@@ -266,11 +226,10 @@ class Testbed:
 
     def polls(self, events: DataFrame) -> DataFrame:
         """Events, stored or streamed, as polls of arrays."""
-        return events.select(
+        return events.selectExpr(
             "event_id",
-            (F.col("user_id") % self.suppliers).alias("array_pos"),
-            F.col("ts").alias("run_ts"),
-            F.when(F.col("event_type") == "error", "Warning").otherwise("Okay").alias("status"),
+            f"user_id % {self.suppliers} AS array_pos",
+            "ts AS run_ts",
+            "if(event_type = 'error', 'Warning', 'Okay') AS status",
             "props",
         )
-

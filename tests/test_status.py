@@ -1,0 +1,174 @@
+"""Status rules against a plain statement of them, over random payloads."""
+
+import random
+
+import pytest
+
+from replipulse.model import LANDED
+from replipulse.operators import status
+
+
+def connection(word):
+    return ("r", "6", word, "t", "false", "m", "p", "i")
+
+
+def link(word):
+    return ("l", "outbound", ["r"], "rp", word, 0, 0)
+
+
+def pod(name, words):
+    return (name, None, "promoted", "promoted", 0, 0,
+            [(f"m{i}", w, "online", "false", None) for i, w in enumerate(words)])
+
+
+def frame(spark, kind, rows):
+    columns = LANDED[kind].replace("run_ts timestamp, ", "")
+    return spark.createDataFrame(rows, columns)
+
+
+def split_in_pages(rng, records):
+    """Cut a list into consecutive pages, some of them empty."""
+    pages, rest = [], list(records)
+    while True:
+        cut = rng.randrange(0, 4)
+        pages.append(rest[:cut])
+        rest = rest[cut:]
+        if not rest:
+            return pages
+
+
+def all_okay(words, healthy, empty):
+    if words is None:
+        return "N/A"
+    if not words:
+        return empty
+    return "Okay" if all(w == healthy for w in words) else "Warning"
+
+
+def last_pod(pods):
+    verdict = "N/A"
+    for words in pods or []:
+        if len(words) > 1:
+            verdict = "Okay" if all(w == "online" for w in words) else "Warning"
+    return verdict
+
+
+def any_pod(pods):
+    verdicts = [all(w == "online" for w in words) for words in pods or [] if len(words) > 1]
+    return "N/A" if not verdicts else "Okay" if all(verdicts) else "Warning"
+
+
+def rolled_up(statuses):
+    if "Warning" in statuses:
+        return "Warning"
+    return "N/A" if all(s == "N/A" for s in statuses) else "Okay"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_fleets(spark, seed):
+    rng = random.Random(seed)
+    sites = [f"site{i}" for i in range(12)]
+    inventory, rows = [], {"connections": [], "links": [], "pods": []}
+    expected, by_site = {}, {}
+    for site_pos, site in enumerate(sites):
+        for array_pos in range(rng.randrange(0, 5)):
+            inventory.append((site, site_pos, array_pos, f"a{array_pos}", "ip"))
+            given = {}
+            for kind, healthy in (("connections", "connected"), ("links", "replicating")):
+                words = rng.choice([None, [], "some", "some", "good"])
+                if words == "some":
+                    words = rng.choices([healthy, healthy, healthy, "bad", None], k=3)
+                elif words == "good":
+                    words = [healthy] * rng.randrange(1, 5)
+                given[kind] = words
+            pods = rng.choice([None, [], "some", "some"])
+            if pods == "some":
+                pods = [
+                    rng.choices(["online"] * 6 + ["offline", None], k=rng.randrange(0, 4))
+                    for _ in range(rng.randrange(1, 5))
+                ]
+            makers = {
+                "connections": [connection(w) for w in given["connections"] or []],
+                "links": [link(w) for w in given["links"] or []],
+                "pods": [pod(f"p{i}", w) for i, w in enumerate(pods or [])],
+            }
+            for kind, records in makers.items():
+                if (pods if kind == "pods" else given[kind]) is None:
+                    continue
+                for page, part in enumerate(split_in_pages(rng, records)):
+                    rows[kind].append((site, array_pos, page, part))
+            result = (
+                all_okay(given["connections"], "connected", "None found"),
+                all_okay(given["links"], "replicating", "N/A"),
+                last_pod(pods),
+                any_pod(pods),
+            )
+            expected[site, array_pos] = result
+            by_site.setdefault(site, []).append(result)
+
+    frames = {kind: frame(spark, kind, rows[kind]) for kind in rows}
+    arrays = frame(spark, "inventory", inventory)
+    kinds = frames["connections"], frames["links"], frames["pods"]
+    last = status.array_status(arrays, *kinds)
+    any_ = status.array_status(arrays, *kinds, pod_rule="any")
+    got = {(r.site, r.array_pos): [r.connections, r.async_links, r.sync_pods]
+           for r in last.collect()}
+    for r in any_.collect():
+        got[r.site, r.array_pos].append(r.sync_pods)
+    assert {k: tuple(v) for k, v in got.items()} == expected
+
+    configured = spark.createDataFrame(list(enumerate(sites)), "site_pos int, site string")
+    summary = status.site_summary(configured, last)
+    columns = [dict(zip(sites, [rolled_up([r[i] for r in by_site.get(s, [])]) for s in sites]))
+               for i in range(3)]
+    rolled = {r.site: (r.connections, r.async_links, r.sync_pods) for r in summary.collect()}
+    assert rolled == {s: tuple(c[s] for c in columns) for s in sites}
+    problems = {r.site for r in status.problem_sites(summary).collect()}
+    assert problems == {s for s in sites if "Warning" in rolled[s]}
+
+
+def test_roll_up_vectors(spark):
+    vectors = {
+        "a": ["N/A", "N/A"], "b": ["N/A", "Okay"], "c": ["Okay", "Warning"], "d": [],
+        "e": ["None found", "N/A"],
+    }
+    rows = [(s, w, w, w) for s, words in vectors.items() for w in words]
+    statuses = spark.createDataFrame(
+        rows, "site string, connections string, async_links string, sync_pods string"
+    )
+    sites = spark.createDataFrame(list(enumerate(vectors)), "site_pos int, site string")
+    summary = {r.site: r.sync_pods for r in status.site_summary(sites, statuses).collect()}
+    assert summary == {"a": "N/A", "b": "Okay", "c": "Warning", "d": "N/A", "e": "Okay"}
+
+
+def test_empty_connections_option(spark):
+    pages = frame(spark, "connections", [("s", 0, 0, []), ("s", 1, 0, [connection("connected")])])
+    words = {r.array_pos: r.connections for r in status.connection_health(pages).collect()}
+    assert words == {0: "None found", 1: "Okay"}
+    words = {
+        r.array_pos: r.connections
+        for r in status.connection_health(pages, empty_as_na=True).collect()
+    }
+    assert words == {0: "N/A", 1: "Okay"}
+
+
+def test_versions(spark):
+    arrays = frame(spark, "inventory", [
+        ("s", 0, 0, "a", "ip"), ("s", 0, 1, "b", "ip"), ("t", 1, 0, "c", "ip"),
+    ])
+    identity = spark.createDataFrame(
+        [("s", 0, "6.1"), ("s", 1, "6.2"), ("t", 0, None)],
+        "site string, array_pos bigint, version string",
+    )
+    own = {r.array: r.version for r in status.with_version(arrays, identity).collect()}
+    last = status.with_version(arrays, identity, rule="last_in_site")
+    assert own == {"a": "6.1", "b": "6.2", "c": None}
+    assert {r.array: r.version for r in last.collect()} == {"a": "6.2", "b": "6.2", "c": None}
+
+
+def test_unknown_rules_are_refused(spark):
+    pages = frame(spark, "pods", [("s", 0, 0, [pod("p", ["online"])])])
+    with pytest.raises(ValueError):
+        status.pod_health(pages, rule="first")
+    with pytest.raises(ValueError):
+        status.with_version(pages, pages, rule="none")
