@@ -53,7 +53,10 @@ def latest_snapshot(
     """The newest poll of every array, with all of its pages.
 
     The newest time per key comes from a narrow aggregation that combines before
-    the shuffle; payloads move at most once, in the semi join.
+    the shuffle. No array needs anything older than the oldest of these times, so
+    that bound goes to the scan, and payloads move at most once, in the semi join.
     """
     newest = history.groupBy(*key).agg(F.max(when).alias(when))
-    return history.join(newest, [*key, when], "left_semi")
+    oldest_needed = newest.agg(F.min(when)).scalar()
+    recent = history.filter(F.col(when) >= oldest_needed)
+    return recent.join(newest, [*key, when], "left_semi")

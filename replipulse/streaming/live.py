@@ -40,14 +40,14 @@ def rollup_stream(
     )
 
 
-def run_available(stream: DataFrame, purpose: str) -> DataFrame:
+def run_available(stream: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
     """Process everything landed so far into files of the shared folder and read them.
 
     The file sink commits each batch once, also after a lost executor. A windowed
     row is written when the watermark has passed its window; windows still open
-    stay in the state for the next run.
+    stay in the state. Give the same ``folder`` again to go on from there.
     """
-    folder = working_folder(stream.sparkSession, purpose)
+    folder = folder or working_folder(stream.sparkSession, purpose)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/rows")
