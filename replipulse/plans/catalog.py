@@ -250,8 +250,7 @@ def report_sections(bed: Testbed) -> DataFrame:
 
 @registered
 def html_tables(bed: Testbed) -> DataFrame:
-    lines = report.html_lines(*_report(bed))
-    return lines.orderBy(*report.line_order()).select(*report.TABLE_KEY, "part", "html")
+    return report.html_lines(*_report(bed))
 
 
 @registered

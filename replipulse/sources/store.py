@@ -44,9 +44,9 @@ def save_sections(sections: DataFrame, path: str, run_date: str) -> None:
     )
 
 
-def save_html(lines: DataFrame, order: list[Column], path: str) -> None:
-    """Write report lines as text files; read in name order they are the document."""
-    lines.orderBy(*order).select("html").write.mode("overwrite").text(path)
+def save_html(lines: DataFrame, path: str) -> None:
+    """Write ordered lines as text files; read in name order they are the document."""
+    lines.select("html").write.mode("overwrite").text(path)
 
 
 def age_days(moment_ntz: Column, now_ntz: Column) -> Column:

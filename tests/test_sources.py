@@ -163,7 +163,7 @@ def test_report_sections_in_order(spark):
 
 def test_html_is_one_well_formed_document(spark, tmp_path):
     path = str(tmp_path / "html")
-    store.save_html(report.html_lines(*small_report(spark)), report.line_order(), path)
+    store.save_html(report.html_lines(*small_report(spark)), path)
     parts = sorted(p for p in (tmp_path / "html").iterdir() if p.name.startswith("part-"))
     lines = "".join(p.read_text() for p in parts).splitlines()
     assert lines[0] == "<!DOCTYPE html><html><body>" and lines[-1] == "</body></html>"
