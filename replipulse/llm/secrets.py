@@ -36,6 +36,8 @@ PATTERNS = (
 ENTROPY = "entropy"
 WINDOW = 24
 CANDIDATE = r"[A-Za-z0-9+/_-]{24,}={0,2}"
+#: Holds for a text with a candidate; tried at the start of each run only.
+LONG_RUN = r"(?:^|[^A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-="
 #: Character classes, first match decides: all patterns to hold, least bits per character.
 CLASSES = (
@@ -84,8 +86,11 @@ def _running(sizes: Column) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _matches(text: Column, pattern: str, group: int) -> Column:
-    """Every match: code points since the last one, its length, and its measured group."""
+def _matches(text: Column, pattern: str, group: int, likely: Column) -> Column:
+    """Every match: code points since the last one, its length, and its measured group.
+
+    ``likely`` holds for every text with a match and is cheaper to find out.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     gaps = F.transform(F.split(text, pattern, -1), F.length)
@@ -102,7 +107,7 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
         lambda s, v: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), v.alias("value")),
     )
     none = F.array().cast("array<struct<gap:bigint,size:bigint,value:string>>")
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(likely, F.when(text.rlike(pattern), found).otherwise(none)).otherwise(none)
 
 
 def _placed(matches: Column, starts: Column) -> Column:
@@ -242,10 +247,21 @@ def scan(
     rows = pick(docs, _id=id_col, _text=text_col, **{f"_keep_{c}": c for c in keep})
     held = [c for c in rows.columns if c.startswith("_keep_")]
     rows = rows.select("_id", F.coalesce("_text", F.lit("")).alias("_text"), *held)
+    rows = rows.withColumn("_run", F.col("_text").rlike(LONG_RUN))
+    likely = {
+        "assign": F.contains("_text", F.lit("=")) | F.contains("_text", F.lit(":")),
+        "access": F.contains("_text", F.lit("AKIA")),
+    }
     patterns = {kind: (pattern, group) for kind, pattern, group, _ in PATTERNS}
     patterns["hex"] = (r"[0-9a-f]{24,}", 0)  # the same matches as those of 24 and more
     patterns[ENTROPY] = (CANDIDATE, 0)
-    matched = rows.select("*", *[_matches(F.col("_text"), p, g).alias(f"_m_{k}") for k, (p, g) in patterns.items()])
+    matched = rows.select(
+        "*",
+        *[
+            _matches(F.col("_text"), p, g, likely.get(k, F.col("_run"))).alias(f"_m_{k}")
+            for k, (p, g) in patterns.items()
+        ],
+    )
     placed = matched.select(
         "_id",
         "_text",

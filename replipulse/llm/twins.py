@@ -1,5 +1,139 @@
-"""SQL twins of the operators' queries, for DuckDB on the same tables."""
+"""SQL twins of the operators' queries, for DuckDB on the same tables.
+
+None for SimHash (no XXH64), the entropy method, trained models and tokenizers; tests hold
+those against plain versions.
+"""
 
 from __future__ import annotations
 
-TWINS: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _lowered(text: str) -> str:
+    return f"translate({text}, '{_UPPER}', '{_LOWER}')"
+
+
+_WARC = """
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < owner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < owner THEN owner END AS refers_to
+FROM (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+           sha1(coalesce(html, '')) AS payload_digest,
+           max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner
+    FROM pages
+)
+"""
+
+_TOPK = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM usable AS q JOIN usable AS c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score
+FROM scored
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY rank <= 20
+"""
+
+_CHAT = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT -1, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok'
+    FROM range(2) AS r(n)
+),
+sized AS (
+    SELECT *, length(replace(replace(text, '\', '\\'), '<|', '<\|'))
+              + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n'))
+              + length('<|im_start|>') + 1 + length('<|im_end|>') + 1 AS chars
+    FROM turns
+),
+chats AS (
+    SELECT conv_id, count(*) AS n_turns, sum(chars) AS formatted_chars,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+           coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+           string_agg(role, ',' ORDER BY turn, role, text) AS roles
+    FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+       sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars,
+       regexp_full_match(roles, '(system,)?user,assistant(,user,assistant)*') AS valid
+FROM chats
+"""
+
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+_DECONTAMINATION = f"""
+WITH docs AS (
+    SELECT doc_id, coalesce(regexp_extract_all({_lowered("text")}, '{_WORDS}'), []) AS words FROM documents
+),
+items AS (
+    SELECT item_id, regexp_extract_all({_lowered("text")}, '{_WORDS}') AS words FROM benchmark
+),
+item_windows AS (
+    SELECT DISTINCT item_id, least(len(words), 10) AS n,
+           array_to_string(list_slice(words, i, i + least(len(words), 10) - 1), ' ') AS window_text
+    FROM (SELECT *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM items WHERE len(words) > 0)
+),
+sizes AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+    SELECT doc_id, i, n, array_to_string(list_slice(words, i, i + n - 1), ' ') AS window_text
+    FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i
+          FROM docs, sizes WHERE len(words) >= n)
+),
+hits AS (
+    SELECT doc_id, item_id, i, n FROM doc_windows JOIN item_windows USING (n, window_text)
+),
+hit_words AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id
+),
+hit_items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+_URLS = f"""
+WITH parts AS (
+    SELECT page_id, length(coalesce(html, '')) < 1000 AS thin,
+           coalesce({_lowered("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+),
+known AS (SELECT *, max(thin) OVER (PARTITION BY host) AS listed FROM parts),
+ruled AS (
+    SELECT *, CASE
+        WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+        WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+        WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+        WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+        WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/'
+    END AS rule
+    FROM known
+)
+SELECT page_id, host, path, rule, listed,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN listed THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+TWINS: dict[str, str] = {
+    "op2_warc_archive": _WARC,
+    "op3_nra_topk": _TOPK,
+    "op7_chat_format": _CHAT,
+    "op9_decontamination": _DECONTAMINATION,
+    "op10_url_filter": _URLS,
+}
