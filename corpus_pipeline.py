@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences, stage by stage.
 
-Every stage takes all that the one before kept, is written, and is read again.
+Every stage takes all that the one before kept, is written, and is read again. Columns of
+the documents that a stage does not need go through it as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,50 +13,63 @@ from replipulse.llm import decontaminate, langid, packing, secrets, simhash
 from replipulse.llm.common import written
 
 
-def _keep(docs: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
-    """The documents whose id is (``left_semi``) or is not (``left_anti``) among those wanted.
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with columns named by their place, and these names."""
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*places), dict(zip(docs.columns, places))
 
-    A null id matches a null id, so no row escapes a decision.
-    """
-    ids = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_wanted")), how).select(*docs.columns)
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among the rows' ``doc_id``; a null matches a null."""
+    rows, place = _numbered(docs)
+    gone = ids.select(F.col("doc_id").alias("gone")).distinct()
+    kept = rows.join(gone, F.col(place["doc_id"]).eqNullSafe(F.col("gone")), "left_anti")
+    return kept.toDF(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the model knows; those it rejects go.
 
     Null and empty texts and texts without a letter are rejected. Without any labelled
-    document nothing can be learned and every document is rejected.
+    document nothing can be learned and every document is rejected. Rows that repeat an id
+    go together.
     """
     found = langid.identify(docs, langid.train(docs))
-    return _keep(docs, found.filter("rejected"), "left_anti")
+    return _without(docs, found.filter("rejected"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id.
 
-    Rows that repeat an id are one document, of which one row stays.
+    Rows that repeat an id are one document, of which one row stays. Rows without an id
+    go, as nothing could name them as the one that stays.
     """
     found = simhash.near_duplicates(docs)
-    stays = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    return _keep(docs, stays, "left_semi").dropDuplicates(["doc_id"])
+    stays = found.filter("component_id = doc_id").select(F.col("doc_id").alias("stays"))
+    rows, place = _numbered(docs)
+    kept = rows.join(stays, F.col(place["doc_id"]) == F.col("stays"), "left_semi")
+    return kept.dropDuplicates([place["doc_id"]]).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item; the others go as a whole."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _keep(docs, found.filter("contaminated"), "left_anti")
+    return _without(docs, found.filter("contaminated"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of every secret; ``n_chars`` follows the text."""
-    kept = [c for c in docs.columns if c not in ("doc_id", "text")]
-    spans = secrets.scan(docs, keep=("text", *kept))
-    text = secrets.redacted(F.col("text"), F.col("found"))
-    clean = spans.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    """All documents, with a mark in place of every secret; ``n_chars`` follows the text.
+
+    Null texts stay null, and so does their ``n_chars``.
+    """
+    rows, place = _numbered(docs)
+    doc_id, text = place["doc_id"], place["text"]
+    spans = secrets.scan(rows, doc_id, text, keep=[c for c in rows.columns if c != doc_id])
+    clean = spans.withColumn(text, secrets.redacted(F.col(text), F.col("found")))
+    if "n_chars" in place:
+        size = F.length(text).cast(rows.schema[place["n_chars"]].dataType)
+        clean = clean.withColumn(place["n_chars"], F.when(F.size("found") > 0, size).otherwise(F.col(place["n_chars"])))
+    return clean.select(*rows.columns).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

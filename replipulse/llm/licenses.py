@@ -204,7 +204,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    return rows.select("id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("paragraph", "line"))
+    return rows.select("id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("paragraph", "line"))
 
 
 def _template_pairs(template: str) -> list[str]:
@@ -282,12 +282,12 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return bound(F.array_max(F.slice(odds, 1, kinds - 1)), best)
 
     def judged(terms: Column) -> Column:
-        return bound(logits(known(terms)), lambda odds: likelier(terms, odds))
+        return bound(known(terms), lambda found: bound(logits(found), lambda odds: likelier(terms, odds)))
 
     lines = _lines(pick(docs, id=id_col, text=text_col))
-    # Unfolding drops plain text where it is; a filter would work everything out twice.
-    found = F.filter(F.transform(F.array(words(F.col("line"))), judged), lambda j: j.isNotNull())
-    rows = lines.select("id", "paragraph", F.explode(found).alias("j")).select("id", "paragraph", "j.*")
+    # Unfolding one judgement, empty or not, keeps the filter from working it out again.
+    found = F.explode_outer(F.transform(F.array(words(F.col("line"))), judged)).alias("j")
+    rows = lines.select("id", "paragraph", found).filter("j is not null").select("id", "paragraph", "j.*")
     like = F.lit(0.0)
     for family, templates in TEMPLATES.items():
         like = F.when(F.col("predicted") == family, _likeness(F.col("terms"), templates)).otherwise(like)

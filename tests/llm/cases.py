@@ -1,0 +1,42 @@
+"""Documents that every operator has to get along with."""
+
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+PROSE = (
+    "The quick brown fox jumps over the lazy dog while seven wizards brew a potion of dusk "
+    "and the river runs slowly past the old mill where nobody has ground any corn since May"
+)
+
+
+def documents(spark):
+    """Null, empty, blank, very long, repeated and tied rows; nulls in every column."""
+    rows = [
+        (1, PROSE, "en", "a", 1),
+        (2, PROSE, "en", "a", 1),
+        (3, PROSE.replace("quick", "QUICK"), "en", "b", 1),
+        (3, PROSE.replace("quick", "QUICK"), "en", "b", 1),
+        (4, None, "en", "a", None),
+        (5, "", None, None, 0),
+        (6, " \t\n ", "de", "b", 3),
+        (7, "eins zwei", "de", "b", 9),
+        (8, " ".join(f"wort{i % 977}" for i in range(60_000)), "de", "c", 0),
+        (None, PROSE, "en", "a", 1),
+        (9, "12345 67890 !!!", "fr", "c", 15),
+        (10, "é è ç " + PROSE + " \x00 🎉 <|endoftext|>", "fr", None, 15),
+        (-11, "x", "xx", "z", 1),
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def clashing(df):
+    """Further columns whose names clash with those that operators use inside."""
+    return df.select(
+        "*",
+        *[F.lit("clash").alias(n) for n in ("TEXT", "id", "fp", "key", "line", "_text", "ids", "queue", "Doc_Id")],
+        F.lit(1).alias("text "),
+    )
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)

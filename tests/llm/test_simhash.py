@@ -1,0 +1,129 @@
+"""SimHash groups against plain versions."""
+
+import re
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+from cases import clashing, documents, rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from replipulse.llm import queries, simhash
+
+
+def plain_fingerprint(text):
+    lowered = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(len(words) - 3, 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_groups(docs):
+    """docs: (id, fingerprint); the smallest id each can reach."""
+    parent = list(range(len(docs)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(range(len(docs)), 2):
+        if (docs[i][1] ^ docs[j][1]).bit_count() <= 4:
+            parent[root(i)] = root(j)
+    groups = {}
+    for i, (doc_id, _) in enumerate(docs):
+        groups.setdefault(root(i), []).append(doc_id)
+    return [min((d for d in groups[root(i)] if d is not None), default=None) for i in range(len(docs))]
+
+
+@given(st.lists(st.text(max_size=80) | st.none(), max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_fingerprints_equal_the_plain_ones(texts):
+    got = simhash.simhashes([t.encode() if t is not None else None for t in texts])
+    assert got.tolist() == [plain_fingerprint(t) for t in texts]
+
+
+def test_hashes_of_all_lengths():
+    text = bytes(np.random.default_rng(3).integers(33, 250, 40_000).astype(np.uint8))
+    starts = np.repeat(np.arange(0, 20_000, 1000), 150)
+    ends = starts + np.tile(np.arange(150), 20)
+    expected = [xxhash.xxh64_intdigest(text[a:b], 42) for a, b in zip(starts, ends)]
+    assert simhash.hashes(text, starts, ends).tolist() == expected
+
+
+def test_spark_hashes_alike(spark):
+    text = "a shingle of words with é"
+    theirs = spark.range(1).select(F.xxhash64(F.lit(text))).scalar().alias("h")
+    got = spark.range(1).select(theirs).first()[0]
+    assert got % 2**64 == xxhash.xxh64_intdigest(text.encode(), 42)
+
+
+def test_words_up_to_two_bits_apart_share_a_key():
+    words = np.random.default_rng(1).integers(0, 1 << 23, 3000)
+    index, counts = simhash.golay_indices(words)
+    for flips in [(), *[(b,) for b in range(23)], *combinations(range(23), 2)]:
+        other, there = simhash.golay_indices(words ^ sum(1 << b for b in flips))
+        shared = (index[:, :, None] == other[:, None, :]) & counts[:, :, None] & there[:, None, :]
+        assert shared.any(axis=(1, 2)).all()
+
+
+def test_fingerprints_up_to_four_bits_apart_share_a_key():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 2**64, 20_000, dtype=np.uint64)
+    near = fps.copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64)
+    keys, owners = simhash.segment_keys(fps)
+    others, theirs = simhash.segment_keys(near)
+    here = set(zip(keys.tolist(), owners.tolist()))
+    found = {o for k, o in zip(others.tolist(), theirs.tolist()) if (k, o) in here}
+    assert len(found) == len(fps)
+
+
+def test_awkward_rows(spark):
+    docs = documents(spark)
+    given_rows = [(r.doc_id, plain_fingerprint(r.text)) for r in docs.collect()]
+    expected = sorted(
+        ((d, f"{f:016x}", c) for (d, f), c in zip(given_rows, plain_groups(given_rows))), key=repr
+    )
+    assert rows(simhash.near_duplicates(docs)) == expected
+    assert rows(simhash.near_duplicates(clashing(docs))) == expected
+    assert rows(simhash.near_duplicates(docs.limit(0))) == []
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 7])
+def test_groups_of_dense_fingerprints(spark, block):
+    """A chain and a dense cluster, also with keys that are cut into blocks."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 3, dtype=np.uint64)
+    fps = [int(base[0])]
+    for i in range(40):  # a chain: each near the last one only
+        fps.append(fps[-1] ^ (0b111 << (3 * i % 60)))
+    for _ in range(150):  # a cluster around one
+        bits = rng.integers(0, 64, rng.integers(1, 6))
+        fps.append(int(base[1]) ^ int(sum(1 << int(b) for b in set(bits.tolist()))))
+    fps += [int(f) for f in rng.integers(0, 2**64, 50, dtype=np.uint64)]
+    docs = [(1000 - i, f) for i, f in enumerate(fps)]
+    signed = [(d, f - 2**64 if f >= 2**63 else f) for d, f in docs]
+    frame = spark.createDataFrame(signed, "id bigint, fp bigint")
+    distinct = frame.groupBy("fp").agg(F.min("id").alias("first"))
+    found = simhash.components(simhash.links(distinct, block=block))
+    root = {r.node: r.root for r in found.collect()}
+    groups = {}
+    for d, f in signed:
+        groups.setdefault(root.get(f, f), []).append(d)
+    expected = plain_groups(docs)
+    got = {d: min(g) for g in groups.values() for d in g}
+    assert [got[d] for d, _ in docs] == expected
+
+
+def test_query_on_the_test_tables(spark, sf_dir):
+    docs = [(r.doc_id, plain_fingerprint(r.text)) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    expected = sorted(((d, f"{f:016x}", c) for (d, f), c in zip(docs, plain_groups(docs))), key=repr)
+    assert rows(queries.op1_simhash_near_dedup(spark, sf_dir)) == expected
