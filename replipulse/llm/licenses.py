@@ -9,7 +9,7 @@ with a weight count.
 
 Calibration scales the odds with a temperature on examples kept out of the training and
 sets the score below which a paragraph is of an unknown class. A prediction is confirmed
-if enough of the paragraph's word pairs are those of a template of the predicted family.
+if the paragraph has enough word pairs in common with a template of the predicted family.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ BUCKETS = 1 << 14
 #: Lines sampled as examples of no licence, and features of each that are used.
 SAMPLE_LINES, SAMPLE_FEATURES = 2000, 256
 EPOCHS, RATE, DECAY, SEED = 12, 0.5, 1e-4, 11
-#: Share of a paragraph's word pairs that a template must have.
+#: Share of word pairs in common with a template that confirms a prediction.
 CONFIRM = 0.6
 #: Weights are whole numbers of this part, so that sums do not depend on their order.
 WEIGHT_SCALE = 10_000
@@ -213,15 +213,19 @@ def _template_pairs(template: str) -> list[str]:
 
 
 def _likeness(terms: Column, templates: Sequence[str]) -> Column:
-    """The largest share of a paragraph's word pairs that one template has."""
+    """The largest share of word pairs in common with one template.
+
+    Of the pairs of the shorter of the two, so that a notice within a longer paragraph
+    counts; of three at least, so that one common pair is not a likeness.
+    """
 
     def share(pairs: Column) -> Column:
-        shared = [
-            F.size(F.array_intersect(pairs, F.split(F.lit(",".join(_template_pairs(t))), ",")))
-            for t in templates
-        ]
-        most = F.greatest(*shared) if len(shared) > 1 else shared[0]
-        return F.when(F.size(pairs) > 0, most / F.size(pairs)).otherwise(0.0)
+        shares = []
+        for template in templates:
+            theirs = list(dict.fromkeys(_template_pairs(template)))
+            shared = F.size(F.array_intersect(pairs, F.split(F.lit(",".join(theirs)), ",")))
+            shares.append(shared / F.greatest(F.least(F.size(pairs), F.lit(len(theirs))), F.lit(3)))
+        return F.greatest(*shares) if len(shares) > 1 else shares[0]
 
     return bound(F.array_distinct(_pairs(terms)), share)
 
