@@ -54,6 +54,15 @@ REPORT_ZONE_NAMES = {-8: "PST", -7: "PDT"}
 
 RETENTION_DAYS = 14
 
+REPORT_TIME_TITLE = "Report Generated:"
+SUMMARY_TITLE = "Summary"
+CAPACITY_TITLE = "{site} &mdash; Arrays"
+PROBLEM_TITLE = "Problem Report &mdash; {site}"
+DETAIL_TITLE = "Warning: {site} &mdash; {table}"
+CONNECTIONS_TITLE = "Array Connections"
+LINKS_TITLE = "Async Status"
+PODS_TITLE = "Sync Status"
+
 LABELS = {
     # summary
     "site": "Site Name",

@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
 
 
 def join_keeping_childless(
@@ -24,13 +21,3 @@ def join_keeping_childless(
     matched = parents.join(children, on)
     childless = parents.join(children.select(*on).distinct(), on, "left_anti")
     return matched.unionByName(childless, allowMissingColumns=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow table for broadcast if counting shows that it is small.
-
-    The estimate for a joined table is the product of its sides, so Spark alone
-    would rather broadcast the records than the inventory. The count stops at the
-    limit; a larger table is left to a shuffle join.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

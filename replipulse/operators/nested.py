@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from replipulse.sources.store import kept
+
 
 def explode_records(
     pages: DataFrame,
@@ -53,31 +56,79 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     )
 
 
+def packed(columns: Sequence[str], digits: Sequence[int], last: Column | None = None) -> Column:
+    """Whole numbers of so many digits as one, in the same order; ``last`` is one more digit.
+
+    A number can be compared in the buffer of a hash aggregation, a struct cannot. Negative
+    numbers and numbers with more digits are refused.
+    """
+    if sum(digits) + (last is not None) > 38:
+        raise ValueError("more than 38 digits")
+    total = F.lit(0).cast("decimal(38,0)")
+    for name, size in zip(columns, digits):
+        fits = F.col(name) >= 0
+        if size < 19:
+            fits = fits & (F.col(name) < 10**size)
+        wrong = F.raise_error(F.lit(f"{name} is not a whole number of up to {size} digits"))
+        value = F.when(fits, F.col(name)).otherwise(wrong.cast("bigint")).cast("decimal(19,0)")
+        total = (total * F.lit(Decimal(10**size)) + value).cast("decimal(38,0)")
+    if last is not None:
+        total = (total * F.lit(Decimal(10)) + last.cast("decimal(1,0)")).cast("decimal(38,0)")
+    return total
+
+
+def _exact(keys: Sequence[str]) -> Column:
+    """Key columns as one text that differs if any of them does; NULLs are equal."""
+    parts = [
+        F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+        for c in keys
+    ]
+    return F.concat(*parts)
+
+
 def mark_first(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str = "is_first"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    flag: str = "is_first",
+    lookup: DataFrame | None = None,
 ) -> DataFrame:
     """Flag the first row of every key combination; NULL keys compare equal.
 
-    A window would sort all rows of one key in one task. Here the first place
-    comes from an aggregation that combines before the shuffle, only keys that do
-    repeat are kept, and the join back is an outer join whose big left side
-    Spark may split when one key is hot.
+    ``order`` names whole numbers, not negative; rows that tie in all of them are first
+    together. A window would sort all rows of one key in one task. Here the order columns
+    are packed, two in a number, and the smallest first number per key comes from a hash
+    aggregation that combines before the shuffle. Only keys that do repeat, and of these only
+    the rows that tie so far, go on to the next numbers. These steps move keys and places,
+    not what else a row holds; the join back is an outer join whose big left side Spark may
+    split when one key is hot. ``lookup`` gives the same rows where keys and order columns
+    can be had by a narrower scan.
     """
-    place = F.struct(*order)
+    pairs = [order[i : i + 2] for i in range(0, len(order), 2)]
+    places = [f"_place_{i}" for i in range(len(pairs))]
+    added = {"_key": _exact(keys)} | {
+        name: packed(pair, [19] * len(pair)) for name, pair in zip(places, pairs)
+    }
+    keyed = df.withColumns(added)
+    narrow = (df if lookup is None else lookup).withColumns(added).select("_key", *places)
     repeated = (
-        df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys])
-        .agg(F.min(place).alias("_first_place"), F.count(F.lit(1)).alias("_rows"))
+        narrow.groupBy("_key")
+        .agg(F.min(places[0]).alias(places[0]), F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > 1)
         .drop("_rows")
     )
-    same_key = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    first = kept(narrow.join(repeated, ["_key", places[0]]), "first-places")
+    for place in places[1:]:
+        least = first.groupBy("_key").agg(F.min(place).alias(place))
+        first = first.join(least, ["_key", place])
+    first = kept(
+        first.groupBy("_key").agg(*[F.min(p).alias(f"_first{p}") for p in places]), "first-places"
     )
-    first = F.col("_first_place").isNull() | (place == F.col("_first_place"))
+    same = reduce(lambda a, b: a & b, [F.col(p) == F.col(f"_first{p}") for p in places])
     return (
-        df.join(repeated, same_key, "left")
-        .withColumn(flag, first)
-        .drop("_first_place", *[f"_key_{k}" for k in keys])
+        keyed.join(first, "_key", "left")
+        .withColumn(flag, F.col(f"_first{places[0]}").isNull() | same)
+        .drop("_key", *places, *[f"_first{p}" for p in places])
     )
 
 

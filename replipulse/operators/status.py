@@ -23,38 +23,53 @@ from replipulse.model import (
     PAGE_ORDER,
     WARNING,
 )
-from replipulse.operators.nested import explode_records
+from replipulse.operators.nested import explode_records, packed
 
 STATUS_COLUMNS = ("connections", "async_links", "sync_pods")
+#: Digits of a page number and of a pod's place in its page.
+PLACE_DIGITS = (19, 10)
 
 
-def _list_health(pages: DataFrame, healthy: str, key: Sequence[str]) -> DataFrame:
-    # Only the status field of the payload is read, each page is reduced where it
-    # is read, and the rest is a combining aggregation: a hot array costs nothing.
+def page_verdicts(pages: DataFrame, healthy: str, key: Sequence[str] = ARRAY_KEY) -> DataFrame:
+    """Each page, stored or streamed, reduced where it is read: ``records`` and ``bad``.
+
+    Only the status field of the payload is read.
+    """
     words = F.col("payload.status")
-    return (
-        pages.select(
-            *key, F.size(words).alias("_n"), any_other_than(words, healthy).alias("_bad")
-        )
-        .groupBy(*key)
-        .agg(F.sum("_n").alias("records"), F.max("_bad").alias("bad"))
+    return pages.select(
+        *key, F.size(words).alias("records"), any_other_than(words, healthy).alias("bad")
     )
 
 
+def _list_health(verdicts: DataFrame, key: Sequence[str]) -> DataFrame:
+    # A combining aggregation: a hot array costs nothing.
+    return verdicts.groupBy(*key).agg(F.sum("records").alias("records"), F.max("bad").alias("bad"))
+
+
+def connection_status(
+    verdicts: DataFrame, key: Sequence[str] = ARRAY_KEY, empty_as_na: bool = False
+) -> DataFrame:
+    """Key and ``connections`` of every array with verdicts of connection pages."""
+    status = list_status(F.col("records"), F.col("bad"), empty_connections_word(empty_as_na))
+    return _list_health(verdicts, key).select(*key, status.alias("connections"))
+
+
+def link_status(verdicts: DataFrame, key: Sequence[str] = ARRAY_KEY) -> DataFrame:
+    """Key and ``async_links`` of every array with verdicts of link pages."""
+    status = list_status(F.col("records"), F.col("bad"), NOT_AVAILABLE)
+    return _list_health(verdicts, key).select(*key, status.alias("async_links"))
+
+
 def connection_health(
     pages: DataFrame, key: Sequence[str] = ARRAY_KEY, empty_as_na: bool = False
 ) -> DataFrame:
     """One row per array that landed connection pages: key and ``connections``."""
-    status = list_status(F.col("records"), F.col("bad"), empty_connections_word(empty_as_na))
-    return _list_health(pages, CONNECTION_HEALTHY, key).select(
-        *key, status.alias("connections")
-    )
+    return connection_status(page_verdicts(pages, CONNECTION_HEALTHY, key), key, empty_as_na)
 
 
 def link_health(pages: DataFrame, key: Sequence[str] = ARRAY_KEY) -> DataFrame:
     """One row per array that landed link pages: key and ``async_links``."""
-    status = list_status(F.col("records"), F.col("bad"), NOT_AVAILABLE)
-    return _list_health(pages, LINK_HEALTHY, key).select(*key, status.alias("async_links"))
+    return link_status(page_verdicts(pages, LINK_HEALTHY, key), key)
 
 
 def pod_members(
@@ -96,24 +111,34 @@ def pod_health(
     key: Sequence[str] = ARRAY_KEY,
     order: Sequence[str] = PAGE_ORDER,
     rule: str = "last",
+    digits: Sequence[int] = PLACE_DIGITS,
+) -> DataFrame:
+    """One row per array that landed stretched pods: key and ``sync_pods``."""
+    return pod_status(stretched_pods(pages, key, order), key, order, rule, digits)
+
+
+def pod_status(
+    pods: DataFrame,
+    key: Sequence[str] = ARRAY_KEY,
+    order: Sequence[str] = PAGE_ORDER,
+    rule: str = "last",
+    digits: Sequence[int] = PLACE_DIGITS,
 ) -> DataFrame:
-    """One row per array that landed stretched pods: key and ``sync_pods``.
+    """Key and ``sync_pods`` of every array with stretched pods.
 
     ``rule='last'``: the last stretched pod decides (of pods at one and the same
     place, an unhealthy one does). ``rule='any'``: one unhealthy pod is enough.
+    Place and verdict are one number, so the last one comes from a hash aggregation;
+    ``digits`` are those of the order columns and of the pod's place in its page.
     """
     if rule not in ("last", "any"):
         raise ValueError(f"unknown pod rule: {rule}")
-    pods = stretched_pods(pages, key, order)
     if rule == "any":
         measured = pods.groupBy(*key).agg(F.max("bad").alias("warn"))
     else:
-        place = F.struct(*order, "pod_pos")
-        measured = (
-            pods.groupBy(*key)
-            .agg(F.max(place).alias("last"), F.max(F.when(F.col("bad"), place)).alias("last_bad"))
-            .withColumn("warn", F.col("last").eqNullSafe(F.col("last_bad")))
-        )
+        place = packed([*order, "pod_pos"], digits, last=F.col("bad").cast("int"))
+        measured = pods.groupBy(*key).agg(F.max(place).alias("last"))
+        measured = measured.withColumn("warn", F.col("last") % 10 == 1)
     return measured.select(
         *key, F.when(F.col("warn"), F.lit(WARNING)).otherwise(F.lit(OKAY)).alias("sync_pods")
     )
@@ -140,13 +165,20 @@ def array_status(
     order: Sequence[str] = PAGE_ORDER,
     pod_rule: str = "last",
     empty_as_na: bool = False,
+    digits: Sequence[int] = PLACE_DIGITS,
 ) -> DataFrame:
     """The inventory with the three statuses of every array."""
     healths = (
         connection_health(connections, key, empty_as_na),
         link_health(links, key),
-        pod_health(pods, key, order, pod_rule),
+        pod_health(pods, key, order, pod_rule, digits),
     )
+    return with_statuses(inventory, healths, key)
+
+
+def with_statuses(
+    inventory: DataFrame, healths: Sequence[DataFrame], key: Sequence[str] = ARRAY_KEY
+) -> DataFrame:
     for health in healths:
         inventory = with_status(inventory, health, key)
     return inventory
@@ -187,5 +219,6 @@ def with_version(
     own = inventory.join(identity.select(*key, "version"), list(key), "left")
     if rule == "per_array":
         return own
-    last = own.groupBy("site").agg(F.max_by("version", "array_pos").alias("version"))
-    return inventory.join(last, "site", "left")
+    last = own.groupBy("site").agg(F.max("array_pos").alias("array_pos"))
+    versions = own.join(last, ["site", "array_pos"]).select("site", "version")
+    return inventory.join(versions, "site", "left")

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from replipulse.functions import text
 from replipulse.model import (
+    CAPACITY_COLUMNS,
     CONNECTION_COLUMNS,
+    CONNECTION_HEALTHY,
+    LINK_HEALTHY,
     LINK_COLUMNS,
     NOT_AVAILABLE,
     POD_COLUMNS,
@@ -17,15 +20,24 @@ from replipulse.model import (
 )
 from replipulse.operators import detail, nested, status
 from replipulse.plans import report
-from replipulse.plans.testbed import KEY, PAGE, POD_PAGE, POD_PLACE, Testbed
+from replipulse.plans.testbed import KEY, PAGE, POD_DIGITS, POD_PAGE, POD_PLACE, Testbed
 from replipulse.sources import landed
-from replipulse.sources.store import age_days, kept, retained
-from replipulse.streaming.live import instant, rollup_stream, run_available
+from replipulse.sources.store import (
+    age_days,
+    kept,
+    read_run,
+    retained,
+    save_runs,
+    save_sections,
+    working_folder,
+)
+from replipulse.streaming.live import instant, rollup_stream, run_available, volume_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 RETENTION_NOW = "2024-01-31 00:00:00"
+RUN_DATE, RUN_MS = "2024-01-31", 1_706_659_200_000
 
 
 def registered(query: Callable[[Testbed], DataFrame]) -> Query:
@@ -73,6 +85,27 @@ def json_flatten(bed: Testbed) -> DataFrame:
     return nested.flatten(parsed)
 
 
+@registered
+def nested_inventory(bed: Testbed) -> DataFrame:
+    """Configurations as they are written: a map of sites, one of them without arrays."""
+    entry = "named_struct('array', {}, 'mgmt_ip', concat_ws('.', '10.0', s_suppkey div 256 % 256, s_suppkey % 256))"
+    configured = bed.table("supplier").join(bed.sites(), F.col("site_pos") == F.col("s_nationkey")).selectExpr(
+        f"""map(site, array({entry.format("s_name")}, {entry.format("concat(s_name, '-b')")}),
+                concat(site, ' spare ', s_suppkey), array()) AS sites"""
+    )
+    return landed.inventory_from_sites(configured)
+
+
+@registered
+def payload_from_json(bed: Testbed) -> DataFrame:
+    """Connection pages that landed as JSON text."""
+    pages = bed.connections().withColumn("payload", F.to_json("payload"))
+    records = nested.explode_records(
+        landed.parse_payload(pages, "connections"), fields=("array_name", "version", "status", "throttled", "id")
+    )
+    return records.select("array_pos", "page", "record.*")
+
+
 # --- status ------------------------------------------------------------------
 
 
@@ -90,7 +123,8 @@ def _pods(bed: Testbed) -> DataFrame:
 
 def _statuses(bed: Testbed, pod_rule: str = "last") -> DataFrame:
     return status.array_status(
-        bed.arrays(), _connections(bed), _links(bed), _pods(bed), KEY, POD_PAGE, pod_rule
+        bed.arrays(), _connections(bed), _links(bed), _pods(bed), KEY, POD_PAGE, pod_rule,
+        digits=POD_DIGITS,
     )
 
 
@@ -125,7 +159,7 @@ def stretched_pods(bed: Testbed) -> DataFrame:
 
 @registered
 def pod_status_last(bed: Testbed) -> DataFrame:
-    return _array_view(bed, status.pod_health(_pods(bed), KEY, POD_PAGE, "last"))
+    return _array_view(bed, status.pod_health(_pods(bed), KEY, POD_PAGE, "last", POD_DIGITS))
 
 
 @registered
@@ -166,14 +200,16 @@ def capacity_metrics(bed: Testbed) -> DataFrame:
 def capacity_display(bed: Testbed) -> DataFrame:
     rows = detail.capacity_detail(bed.arrays(), bed.capacity(), KEY)
     ordered = rows.orderBy("site_pos", "array_pos")
-    return ordered.select(
-        "site", "array_pos", "array", "version", "drr", "percent_full", "space_used",
-        "space_remaining", "total_usable",
-    )
+    return ordered.select("site", "array_pos", *CAPACITY_COLUMNS)
+
+
+def _arrays(bed: Testbed) -> DataFrame:
+    """The inventory, stored: of a stored table Spark knows the size."""
+    return kept(bed.arrays(), "arrays")
 
 
 def _connection_rows(bed: Testbed) -> DataFrame:
-    return detail.connection_detail(bed.arrays(), bed.connections(), KEY, PAGE, ordered=True)
+    return detail.connection_detail(_arrays(bed), bed.connections(), KEY, PAGE, ordered=True)
 
 
 @registered
@@ -188,7 +224,7 @@ def connection_display(bed: Testbed) -> DataFrame:
 
 
 def _link_rows(bed: Testbed) -> DataFrame:
-    return detail.link_detail(bed.arrays(), bed.links(), KEY, PAGE, ordered=True)
+    return detail.link_detail(_arrays(bed), bed.links(), KEY, PAGE, ordered=True)
 
 
 @registered
@@ -203,7 +239,8 @@ def link_display(bed: Testbed) -> DataFrame:
 
 
 def _pod_rows(bed: Testbed, blank: bool) -> DataFrame:
-    listed = status.with_status(bed.arrays(), status.pod_health(_pods(bed), KEY, POD_PAGE), KEY)
+    health = status.pod_health(_pods(bed), KEY, POD_PAGE, digits=POD_DIGITS)
+    listed = status.with_status(bed.arrays(), health, KEY)
     arrays = kept(listed.filter(F.col("sync_pods") != NOT_AVAILABLE), "arrays-with-pods")
     return detail.pod_detail(
         arrays, bed.pods(), KEY, POD_PLACE, blank_repeats=blank, ordered=True
@@ -234,29 +271,49 @@ def _report(bed: Testbed) -> tuple[DataFrame, DataFrame]:
     summary = kept(status.site_summary(bed.sites(), statuses), "summary")
     sections = report.report_sections(
         summary, statuses, bed.capacity(), bed.connections(), bed.links(), bed.pods(),
-        KEY, PAGE, POD_PLACE,
+        KEY, PAGE, POD_PLACE, RUN_MS,
     )
     # The saved report: sorting it samples stored rows, not the whole computation.
-    return summary, kept(sections, "sections")
+    folder = working_folder(bed.spark, "reports")
+    save_sections(sections, folder, RUN_DATE)
+    return summary, read_run(bed.spark, folder, RUN_DATE)
 
 
 @registered
 def report_sections(bed: Testbed) -> DataFrame:
     _, sections = _report(bed)
     return sections.orderBy(*report.row_order()).select(
-        *report.TABLE_KEY, "heading", F.array_join("cells", " | ").alias("cells")
+        *report.TABLE_KEY, report.headings().alias("heading"), F.array_join("cells", " | ").alias("cells")
+    )
+
+
+@registered
+def saved_report(bed: Testbed) -> DataFrame:
+    """A saved run, read back: every row with its number in the report."""
+    _, sections = _report(bed)
+    rows = report.numbered(sections.orderBy(*report.row_order()))
+    return rows.select(
+        F.col("run_date").cast("string").alias("run_date"),
+        "position",
+        *report.TABLE_KEY,
+        F.array_join("cells", " | ").alias("cells"),
     )
 
 
 @registered
 def html_tables(bed: Testbed) -> DataFrame:
-    return report.html_lines(*_report(bed))
+    """The saved report as HTML."""
+    summary, sections = _report(bed)
+    return report.html_lines(summary, sections.drop("run_date"))
 
 
 @registered
 def retention(bed: Testbed) -> DataFrame:
+    """Saved runs of many dates; folders of dates that are too old are not opened."""
     now = F.lit(RETENTION_NOW).cast("timestamp_ntz")
-    saved = retained(bed.history(), "run_ts", now)
+    folder = working_folder(bed.spark, "runs")
+    save_runs(bed.history().select("event_id", "run_ts"), folder, "run_ts")
+    saved = retained(bed.spark.read.parquet(folder), "run_ts", now)
     run_us = text.epoch_micros(F.col("run_ts"))
     run_ms = F.floor(run_us / 1000)
     return saved.select(
@@ -277,22 +334,41 @@ def _landing(bed: Testbed) -> DataFrame:
     return bed.polls(stream)
 
 
+def _streamed(bed: Testbed, pages: DataFrame, kind: str) -> DataFrame:
+    """Pages that land as files, read as a stream of them."""
+    folder = working_folder(bed.spark, f"landed-{kind}")
+    pages.write.parquet(folder)
+    return bed.spark.readStream.schema(pages.schema).parquet(folder)
+
+
 @registered
 def stream_status(bed: Testbed) -> DataFrame:
-    polls = _landing(bed).select(
-        "event_id",
-        "array_pos",
-        text.epoch_micros(F.col("run_ts")).alias("run_us"),
-        "status",
-        F.from_json("props", "k int").alias("props"),
+    """Statuses from landed payload pages: each is judged as it lands."""
+    connections = status.page_verdicts(
+        _streamed(bed, _connections(bed), "connections"), CONNECTION_HEALTHY, KEY
+    )
+    links = status.page_verdicts(_streamed(bed, _links(bed), "links"), LINK_HEALTHY, KEY)
+    pods = status.stretched_pods(_streamed(bed, _pods(bed), "pods"), KEY, POD_PAGE)
+    healths = (
+        status.connection_status(run_available(connections, "stream-connections"), KEY),
+        status.link_status(run_available(links, "stream-links"), KEY),
+        status.pod_status(run_available(pods, "stream-pods"), KEY, POD_PAGE, digits=POD_DIGITS),
     )
-    return run_available(nested.flatten(polls, sep="_"), "stream-status")
+    found = status.with_statuses(bed.arrays(), healths, KEY)
+    return found.select("site", "array_pos", "array", *status.STATUS_COLUMNS)
 
 
 @registered
 def stream_rollup(bed: Testbed) -> DataFrame:
     polls = _landing(bed).select("array_pos", instant(F.col("run_ts")).alias("run_ts"), "status")
-    closed = run_available(
-        rollup_stream(polls, bed.arrays(), ("status",), key=KEY), "stream-rollup"
-    )
-    return closed.select(F.unix_micros("window.start").alias("window_start_us"), "site", "status")
+    rolled = rollup_stream(polls, bed.arrays(), ("status",), key=KEY)
+    windows = run_available(rolled, "stream-rollup", key=("window", "site"))
+    return windows.select(F.unix_micros("window.start").alias("window_start_us"), "site", "status")
+
+
+@registered
+def stream_volume(bed: Testbed) -> DataFrame:
+    """What each array replicated per day."""
+    polls = _landing(bed).select("array_pos", instant(F.col("run_ts")).alias("run_ts"), "bytes")
+    windows = run_available(volume_stream(polls, key=KEY), "stream-volume", key=("window", *KEY))
+    return windows.select(F.unix_micros("window.start").alias("window_start_us"), *KEY, "bytes")

@@ -16,12 +16,15 @@ from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from replipulse.operators.joins import join_keeping_childless
 
 KEY = ("array_pos",)
 PAGE = ("page",)
 POD_PAGE = ("page", "part", "supp")
+# Digits of these and of a pod's place in its page: up to scale 100,000 of the source.
+POD_DIGITS = (13, 11, 10, 3)
 # Rows of lineitem may repeat all of these; their place in the files settles ties.
 POD_PLACE = (*POD_PAGE, "file", "file_row")
 
@@ -126,15 +129,18 @@ class Testbed:
             "id": "string(l_orderkey)",
         }
         record = _record(fields, wanted)
-        return (
+        pages = (
             self.table("lineitem")
             .selectExpr("*", self.array_number("l_suppkey", 0))
-            .selectExpr(
-                "array_pos",
-                "l_orderkey AS page",
-                # Every ninth array answers, but knows no other array.
-                f"slice(array({record}), 1, if(array_pos % 9 = 0, 0, 1)) AS payload",
-            )
+            .selectExpr("array_pos", "l_orderkey AS page", f"array({record}) AS payload")
+        )
+        # Of the arrays that own no page, every third answers, but knows no other array.
+        suppliers = self.table("supplier")
+        owners = suppliers.selectExpr(self.array_number("s_suppkey", 0)).distinct()
+        silent = suppliers.selectExpr("s_suppkey AS array_pos").join(owners, "array_pos", "left_anti")
+        empty = silent.filter("array_pos % 3 = 0").select("array_pos", F.lit(0).cast("bigint").alias("page"))
+        return pages.unionByName(empty, allowMissingColumns=True).withColumn(
+            "payload", F.coalesce("payload", F.array().cast(pages.schema["payload"].dataType))
         )
 
     # F4
@@ -214,7 +220,7 @@ class Testbed:
                 "l_orderkey * 8 + l_linenumber AS page",
                 "l_partkey AS part",
                 "l_suppkey AS supp",
-                "xxhash64(_metadata.file_path) AS file",
+                "shiftrightunsigned(xxhash64(_metadata.file_path), 1) AS file",
                 "_metadata.row_index AS file_row",
                 f"array({_record(fields, wanted)}) AS payload",
             )
@@ -231,5 +237,6 @@ class Testbed:
             f"user_id % {self.suppliers} AS array_pos",
             "ts AS run_ts",
             "if(event_type = 'error', 'Warning', 'Okay') AS status",
+            "bigint(round(value * 100)) AS bytes",
             "props",
         )

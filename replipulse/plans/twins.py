@@ -54,6 +54,9 @@ def _escaped(column: str) -> str:
 
 _PARTS = {
     "ns": "SELECT count(*) AS n FROM supplier",
+    "configured": """
+        SELECT *, '10.0.' || (s_suppkey // 256 % 256) || '.' || (s_suppkey % 256) AS ip
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "sites": "SELECT n_nationkey AS site_pos, n_name AS site FROM nation",
     "arrays": """
         SELECT s_suppkey AS array_pos, s_name AS array, '6.' || (s_suppkey % 7) AS version,
@@ -95,8 +98,12 @@ _PARTS = {
                CASE WHEN l_tax > 0.05::DOUBLE THEN 'true' ELSE 'false' END AS throttled,
                '10.1.' || (l_partkey % 256) AS management_address,
                '10.2.' || (l_partkey % 256) AS replication_address,
-               CASE WHEN (k * k) % n % 9 = 0 THEN 0 ELSE 1 END AS records
-        FROM (SELECT *, l_suppkey % n AS k FROM lineitem, ns)""",
+               CAST(l_orderkey AS VARCHAR) AS id, 1 AS records
+        FROM (SELECT *, l_suppkey % n AS k FROM lineitem, ns)
+        UNION ALL
+        SELECT s_suppkey, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0
+        FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey NOT IN (
+            SELECT ((s_suppkey % n) * (s_suppkey % n)) % n FROM supplier, ns)""",
     "connection_records": "SELECT * FROM connection_pages WHERE records = 1",
     "link_pages": """
         SELECT *, (k * k + 1) % n AS array_pos,
@@ -164,17 +171,20 @@ _PARTS = {
         SELECT array_pos, CASE WHEN bool_or(bad) THEN 'Warning' ELSE 'Okay' END AS sync_pods
         FROM stretched GROUP BY array_pos""",
     "connection_rows": """
-        SELECT a.site_pos, a.site, a.array AS local_array, a.version AS local_version, r.status,
+        SELECT a.site_pos, a.site, r.array_pos, r.page, a.array AS local_array,
+               a.version AS local_version, r.status,
                r.remote_array, r.remote_version, r.type, r.throttled, r.management_address,
                r.replication_address
         FROM connection_records r JOIN arrays a USING (array_pos)""",
     "link_rows": f"""
-        SELECT a.site_pos, a.site, a.array AS local_array, r.local_pod_name, r.direction,
+        SELECT a.site_pos, a.site, r.array_pos, r.page, r.i, a.array AS local_array,
+               r.local_pod_name, r.direction,
                r.remote_names, r.remote_pod_name, r.status,
                {_zone_text("r.recovery_ms")} AS recovery_point, r.lag
         FROM link_records r JOIN arrays a USING (array_pos)""",
     "pod_rows": f"""
-        SELECT a.site_pos, a.site, a.array_pos, p.page, a.array AS local_array, p.pod_name,
+        SELECT a.site_pos, a.site, a.array_pos, p.page, p.part, p.supp, p.pod_id, m.i,
+               a.array AS local_array, p.pod_name,
                p.promotion_status, m.name, m.status, m.mediator_status,
                {_zone_text("m.frozen_ms")} AS frozen_at,
                row_number() OVER (
@@ -183,7 +193,7 @@ _PARTS = {
         FROM pods p JOIN arrays a USING (array_pos) LEFT JOIN members m USING (pod_id)
         WHERE a.array_pos IN (SELECT array_pos FROM stretched)""",
     "blanked_pod_rows": """
-        SELECT site_pos, site, array_pos, page,
+        SELECT site_pos, site, array_pos, page, part, supp, pod_id, i,
                CASE WHEN nth = 1 THEN local_array ELSE '' END AS local_array,
                CASE WHEN nth = 1 THEN pod_name ELSE '' END AS pod_name,
                CASE WHEN nth = 1 THEN promotion_status ELSE '' END AS promotion_status,
@@ -191,7 +201,8 @@ _PARTS = {
         FROM pod_rows""",
     "history": """
         SELECT event_id, user_id % n AS array_pos, ts,
-               CASE WHEN event_type = 'error' THEN 'Warning' ELSE 'Okay' END AS status, props
+               CASE WHEN event_type = 'error' THEN 'Warning' ELSE 'Okay' END AS status,
+               CAST(round(value * 100) AS BIGINT) AS bytes, props
         FROM events, ns""",
 }
 
@@ -247,7 +258,7 @@ _DETAILS = (
     (3, "sync_pods", "Sync Status", "blanked_pod_rows", POD_COLUMNS),
 )
 _CAPACITY_ROWS = """(
-    SELECT a.site_pos, a.site, a.array, a.version,
+    SELECT a.site_pos, a.site, a.array_pos, a.array, a.version,
            t.drr, t.percent_full, t.space_used, t.space_remaining, t.total_usable
     FROM arrays a LEFT JOIN capacity_texts t USING (array_pos))"""
 
@@ -273,23 +284,46 @@ _PROBLEM = "connections = 'Warning' OR async_links = 'Warning' OR sync_pods = 'W
 def _report_sections() -> str:
     parts = [
         f"SELECT 2 AS section_rank, site_pos, 0 AS kind_rank, "
-        f"'Problem Report &mdash; ' || site AS heading, '' AS cells "
-        f"FROM summary WHERE {_PROBLEM}"
+        f"'Problem Report &mdash; ' || site AS heading, '' AS cells, "
+        f"NULL AS d1, NULL AS d2, NULL AS a1, NULL AS a2, [CAST(site_pos AS BIGINT)] AS place, [''] AS cell_list "
+        f"FROM summary WHERE {_PROBLEM}",
+        f"SELECT -1, -1, 0, 'Report Generated:', '{_RUN_TIME}', NULL, NULL, NULL, NULL, [0], ['']",
     ]
     for section, site_pos, kind, heading, columns, source in _tables():
         cells = " || ' | ' || ".join(_cell(c) for c in columns)
+        order = ", ".join([*_ORDERS[section, kind], f"[{', '.join(_cell(c) for c in columns)}]"])
         parts.append(
-            f"SELECT {section}, {site_pos}, {kind}, {heading.format(site='site')}, {cells} "
+            f"SELECT {section}, {site_pos}, {kind}, {heading.format(site='site')}, {cells}, {order} "
             f"FROM {source}"
         )
     return " UNION ALL ".join(parts)
 
 
+_RUN_TIME = "2024-01-30 16:00:00 PST"
+# Sort columns of each kind of table: two descending texts, two ascending ones, places.
+_ORDERS = {
+    (0, 0): ("NULL", "NULL", "NULL", "NULL", "[site_pos]"),
+    (1, 0): ("NULL", "NULL", "NULL", "NULL", "[array_pos]"),
+    (2, 1): ("status", "remote_array", "NULL", "NULL", "[array_pos, page]"),
+    (2, 2): ("NULL", "NULL", "local_pod_name", "direction", "[array_pos, page, i]"),
+    (2, 3): ("NULL", "NULL", "NULL", "NULL", "[array_pos, page, part, supp, pod_id, coalesce(i, 0)]"),
+}
+
+
+def _saved_report() -> str:
+    return f"""
+        SELECT '2024-01-31' AS run_date, section_rank, site_pos, kind_rank, cells,
+               row_number() OVER (ORDER BY section_rank, site_pos, kind_rank, d1 DESC NULLS LAST,
+                   d2 DESC NULLS LAST, a1 NULLS LAST, a2 NULLS LAST, place, cell_list) AS position
+        FROM ({_report_sections()})"""
+
+
 def _html_tables() -> str:
     site = _escaped("site")
     frame = "SELECT {} AS section_rank, -1 AS site_pos, 0 AS kind_rank, 0 AS part, '{}' AS html"
     parts = [
         frame.format(-1, "<!DOCTYPE html><html><body>"),
+        f"SELECT -1, -1, 0, 2, '<p>Report Generated: {_RUN_TIME}</p>'",
         frame.format(3, "</body></html>"),
         f"SELECT 2, site_pos, 0, 1, '<br /><hr /><h1>Problem Report &mdash; ' || {site} || '</h1>' "
         f"FROM summary WHERE {_PROBLEM}",
@@ -400,7 +434,8 @@ _SELECTS = {
     "pod_detail": f"SELECT site, {', '.join(POD_COLUMNS)} FROM pod_rows",
     "blank_repeats": f"SELECT site, array_pos, page, {', '.join(POD_COLUMNS)} FROM blanked_pod_rows",
     "pod_display": _display("blanked_pod_rows", POD_COLUMNS),
-    "report_sections": _report_sections(),
+    "report_sections": f"SELECT section_rank, site_pos, kind_rank, heading, cells FROM ({_report_sections()})",
+    "saved_report": _saved_report(),
     "html_tables": _html_tables(),
     "retention": f"""
         SELECT event_id, epoch_us(ts) AS run_us,
@@ -410,16 +445,27 @@ _SELECTS = {
         FROM events
         WHERE date_sub('day', ts, TIMESTAMP '2024-01-31 00:00:00') <= 14""",
     "stream_status": """
-        SELECT event_id, array_pos, epoch_us(ts) AS run_us, status,
-               CAST(json_extract(props, '$.k') AS INTEGER) AS props_k
-        FROM history""",
-    # Windows that the watermark, the newest time less one hour, has passed.
+        SELECT a.site, a.array_pos, a.array, coalesce(c.connections, 'N/A') AS connections,
+               coalesce(l.async_links, 'N/A') AS async_links, coalesce(p.sync_pods, 'N/A') AS sync_pods
+        FROM arrays a LEFT JOIN connection_health c USING (array_pos)
+        LEFT JOIN link_health l USING (array_pos) LEFT JOIN pod_health p USING (array_pos)""",
     "stream_rollup": f"""
         SELECT epoch_us(day) AS window_start_us, site, {_rolled_up("status")}
         FROM (SELECT date_trunc('day', CAST(h.ts AS TIMESTAMP)) AS day, a.site, h.status
               FROM history h JOIN arrays a USING (array_pos))
-        WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
         GROUP BY day, site""",
+    "stream_volume": """
+        SELECT epoch_us(date_trunc('day', CAST(ts AS TIMESTAMP))) AS window_start_us, array_pos,
+               CAST(sum(bytes) AS BIGINT) AS bytes
+        FROM history GROUP BY 1, 2""",
+    "nested_inventory": """
+        SELECT n_name AS site, 0 AS site_pos, CAST(0 AS BIGINT) AS array_pos, s_name AS array, ip AS mgmt_ip
+        FROM configured
+        UNION ALL SELECT n_name, 0, 1, s_name || '-b', ip FROM configured
+        UNION ALL SELECT n_name || ' spare ' || s_suppkey, 1, NULL, NULL, NULL FROM configured""",
+    "payload_from_json": """
+        SELECT array_pos, page, remote_array AS array_name, remote_version AS version, status, throttled, id
+        FROM connection_records""",
 }
 
 TWINS = {name: _with(sql) for name, sql in _SELECTS.items()}

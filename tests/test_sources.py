@@ -2,7 +2,9 @@
 
 import json
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from replipulse.model import LANDED
@@ -89,11 +91,46 @@ def test_saving_a_run_again_replaces_it(spark, tmp_path):
 
 
 def test_working_folder_is_the_shared_one(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir")
     first, second = (store.working_folder(spark, "x") for _ in range(2))
     assert first != second
-    if before:
-        assert first.startswith(before)
+    assert first.startswith(f"{shared}/x-")
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"])
+def test_a_cluster_without_a_shared_folder_is_refused(master):
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default=None: default),
+        sparkContext=SimpleNamespace(master=master),
+    )
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        store.working_folder(session, "x")
+    session.sparkContext.master = "local[4]"
+    assert "/x-" in store.working_folder(session, "x")
+
+
+def test_latest_snapshot_opens_no_older_folders(spark, tmp_path):
+    path = str(tmp_path / "polls")
+    day = datetime(2024, 1, 1)
+    rows = [(a, day + timedelta(d), d) for a in range(3) for d in range(10)] + [(9, day, 0)]
+    df = spark.createDataFrame(rows, "array_pos bigint, run_ts timestamp_ntz, n int")
+    store.save_runs(df, path, "run_ts")
+    history = spark.read.parquet(path)
+    everything = landed.latest_snapshot(history, ["array_pos"])
+    assert sorted((r.array_pos, r.n) for r in everything.collect()) == [(0, 9), (1, 9), (2, 9), (9, 0)]
+    recent = landed.latest_snapshot(history, ["array_pos"], since="2024-01-05")
+    assert sorted((r.array_pos, r.n) for r in recent.collect()) == [(0, 9), (1, 9), (2, 9)]
+    scans = [line for line in recent._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert any("run_date" in line and "scalar-subquery" in line for line in scans)
+
+
+def test_one_saved_run_is_read_alone(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    for day, rows in (("2024-01-01", 3), ("2024-01-02", 4)):
+        store.save_sections(spark.range(rows).toDF("n"), path, day)
+    run = store.read_run(spark, path, "2024-01-02")
+    assert run.count() == 4
+    assert "PartitionFilters: [isnotnull(run_date" in run._jdf.queryExecution().executedPlan().toString()
 
 
 def test_landed_schemas_parse(spark):
@@ -134,14 +171,17 @@ def small_report(spark):
         ("w<1>", 0, 0, [("p", None, "promoted", "promoted", 0, 0, members)]),
         ("w<1>", 1, 0, [("q", None, "promoted", "promoted", 0, 0, members[:1])]),
     ])
-    return summary, report.report_sections(summary, statuses, capacity, connections, links, pods)
+    return summary, report.report_sections(
+        summary, statuses, capacity, connections, links, pods, run_ms=1726699453000
+    )
 
 
 def test_report_sections_in_order(spark):
     _, sections = small_report(spark)
-    rows = sections.orderBy(*report.row_order()).collect()
+    rows = sections.orderBy(*report.row_order()).withColumn("heading", report.headings()).collect()
     green, yellow, red = "\U0001F7E2", "\U0001F7E1", "\U0001F534"
     assert [(r.heading, r.cells) for r in rows] == [
+        ("Report Generated:", ["2024-09-18 15:44:13 PDT"]),
         ("Summary", ["w<1>", f"{yellow} Warning", "N/A", f"{yellow} Warning"]),
         ("Summary", ["e", f"{green} Okay", f"{green} Okay", "N/A"]),
         ("w<1> &mdash; Arrays", ["a0", "6.1", "1.6:1", "50.0%", "512.0 B", "512.0 B", "1.0 KB"]),
@@ -167,6 +207,7 @@ def test_html_is_one_well_formed_document(spark, tmp_path):
     parts = sorted(p for p in (tmp_path / "html").iterdir() if p.name.startswith("part-"))
     lines = "".join(p.read_text() for p in parts).splitlines()
     assert lines[0] == "<!DOCTYPE html><html><body>" and lines[-1] == "</body></html>"
+    assert lines.pop(1) == "<p>Report Generated: 2024-09-18 15:44:13 PDT</p>"
     assert lines[1].startswith("<h1>Summary</h1><table><thead><tr><th>Site Name</th>")
     assert "<tr><td>w&lt;1&gt;</td>" in lines[2]
     assert any("<h2>w&lt;1&gt; &mdash; Arrays</h2>" in line for line in lines)
@@ -175,3 +216,14 @@ def test_html_is_one_well_formed_document(spark, tmp_path):
     for tag in ("table", "thead", "tbody", "tr", "td", "th"):
         assert text.count(f"<{tag}>") == text.count(f"</{tag}>") > 0
     assert text.count("<table>") == 1 + 2 + 2
+
+
+def test_cells_are_escaped_one_by_one(spark):
+    df = spark.createDataFrame([(0, ["a\0b", "<c>&"])], "section_rank int, cells array<string>")
+    assert df.select(report._row_html()).first()[0] == "<tr><td>a\0b</td><td>&lt;c&gt;&amp;</td></tr>"
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.range(1000).repartition(7).orderBy(F.desc("id"))
+    got = report.numbered(df).collect()
+    assert sorted((r.position, r.id) for r in got) == [(i + 1, 999 - i) for i in range(1000)]

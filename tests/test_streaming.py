@@ -9,7 +9,7 @@ from replipulse.functions.health import rolled_up
 from replipulse.model import LANDED
 from replipulse.operators import status
 from replipulse.sources.landed import stream_landed
-from replipulse.streaming.live import instant, rollup_stream, run_available
+from replipulse.streaming.live import instant, rollup_stream, run_available, volume_stream
 
 START = datetime(2024, 1, 1)
 
@@ -24,7 +24,7 @@ def inventory(spark):
     return spark.createDataFrame([(0, "s"), (1, "s"), (2, "t")], "array_pos bigint, site string")
 
 
-def test_windows_are_written_once_when_closed(spark, tmp_path, inventory):
+def test_windows_show_their_latest_state(spark, tmp_path, inventory):
     path, folder = str(tmp_path / "in"), str(tmp_path / "work")
 
     def run():
@@ -32,7 +32,7 @@ def test_windows_are_written_once_when_closed(spark, tmp_path, inventory):
             "array_pos bigint, run_ts timestamp, status string"
         ).parquet(path)
         rolled = rollup_stream(polls, inventory, ("status",), key=("array_pos",))
-        rows = run_available(rolled, "rollup", folder).collect()
+        rows = run_available(rolled, "rollup", folder, key=("window", "site")).collect()
         return sorted((r.window.start.day, r.site, r.status) for r in rows)
 
     def at(day, hour):
@@ -40,30 +40,63 @@ def test_windows_are_written_once_when_closed(spark, tmp_path, inventory):
 
     land(spark, path, [(0, at(1, 3), "Okay"), (1, at(1, 5), "Warning"), (2, at(1, 6), "N/A"),
                        (0, at(2, 1), "Okay"), (2, at(2, 0.5), "N/A")])
-    assert run() == [(1, "s", "Warning"), (1, "t", "N/A")]
-    land(spark, path, [(1, at(2, 4), "N/A"), (2, at(2, 7), "Okay"), (0, at(4, 0), "Okay")])
-    assert run() == [(1, "s", "Warning"), (1, "t", "N/A"), (2, "s", "Okay"), (2, "t", "Okay")]
-    assert len(run()) == 4
+    first = [(1, "s", "Warning"), (1, "t", "N/A"), (2, "s", "Okay"), (2, "t", "N/A")]
+    assert run() == first
+    assert run() == first
+    # The open window of the second day changes; the first day is closed, its row stays.
+    land(spark, path, [(1, at(2, 4), "N/A"), (2, at(2, 7), "Warning"), (2, at(1, 9), "Warning"),
+                       (0, at(4, 0), "Okay")])
+    second = [(1, "s", "Warning"), (1, "t", "N/A"), (2, "s", "Okay"), (2, "t", "Warning"), (4, "s", "Okay")]
+    assert run() == second
+    assert run() == second
+
+
+def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path, inventory):
+    path, folder = str(tmp_path / "in"), str(tmp_path / "work")
+    land(spark, path, [(0, START, "Okay"), (2, START, "N/A")])
+    polls = spark.readStream.schema("array_pos bigint, run_ts timestamp, status string").parquet(path)
+    assert run_available(polls, "t", folder).count() == 2
+    # As after a failure between the write and its commit: the batch is not on record.
+    for commit in (tmp_path / "work" / "progress" / "commits").glob("*0*"):
+        commit.unlink()
+    assert run_available(polls, "t", folder).count() == 2
 
 
-def test_closed_windows_equal_the_batch(spark, tmp_path, inventory):
+def test_all_windows_equal_the_batch(spark, tmp_path, inventory):
     path = str(tmp_path / "in")
     words = ["Okay", "Warning", "N/A", "N/A", "Okay"]
     rows = [(i % 3, START + timedelta(minutes=97 * i), words[i * i % 5]) for i in range(300)]
     land(spark, path, rows)
     polls = spark.readStream.schema("array_pos bigint, run_ts timestamp, status string").parquet(path)
     rolled = rollup_stream(polls, inventory, ("status",), key=("array_pos",))
-    streamed = {(r.window.start, r.site, r.status) for r in run_available(rolled, "t").collect()}
+    got = run_available(rolled, "t", key=("window", "site")).collect()
+    streamed = {(r.window.start, r.site, r.status) for r in got}
     batch = (
         spark.read.parquet(path).join(inventory, "array_pos")
         .groupBy(F.window("run_ts", "24 hours"), "site")
         .agg(rolled_up(F.col("status")).alias("status"))
     )
-    newest = max(r[1] for r in rows) - timedelta(hours=1)
-    closed = {
-        (r.window.start, r.site, r.status) for r in batch.collect() if r.window.end <= newest
-    }
-    assert streamed == closed and closed
+    assert len(got) == len(streamed)
+    assert streamed == {(r.window.start, r.site, r.status) for r in batch.collect()} and streamed
+
+
+def test_volume_per_window(spark, tmp_path):
+    path = str(tmp_path / "in")
+    rows = [(i % 3, START + timedelta(hours=5 * i), i) for i in range(60)]
+    spark.createDataFrame(rows, "array_pos bigint, run_ts timestamp, bytes bigint").write.parquet(path)
+    polls = spark.readStream.schema("array_pos bigint, run_ts timestamp, bytes bigint").parquet(path)
+    got = run_available(volume_stream(polls, key=("array_pos",)), "v", key=("window", "array_pos"))
+    expected = {}
+    for array, when, size in rows:
+        expected[when.day, array] = expected.get((when.day, array), 0) + size
+    assert {(r.window.start.day, r.array_pos): r.bytes for r in got.collect()} == expected
+
+
+def test_nothing_landed(spark, tmp_path, inventory):
+    (tmp_path / "in").mkdir()
+    polls = spark.readStream.schema("array_pos bigint, run_ts timestamp, status string").parquet(str(tmp_path / "in"))
+    rolled = rollup_stream(polls, inventory, ("status",), key=("array_pos",))
+    assert run_available(rolled, "t", key=("window", "site")).collect() == []
 
 
 def test_landed_payloads_get_their_status_as_they_land(spark, tmp_path):
