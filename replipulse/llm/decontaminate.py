@@ -24,7 +24,7 @@ WINDOW_WORDS = 10
 WORDS = word_table(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of benchmark text whose windows one pass holds, and of text worked on at once.
-BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
+BLOCK_BYTES, CHUNK_BYTES = 2 << 20, 1 << 20
 #: Words of a very long text that are worked on at once.
 PIECE_WORDS = 1 << 17
 

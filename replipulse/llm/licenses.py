@@ -195,7 +195,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     negative = [r["found"] for r in sample.collect()]
     families = [*TEMPLATES, NONE]
     texts = [(text, n) for n, f in enumerate(TEMPLATES) for t in TEMPLATES[f] for text in variants(t)]
-    given = docs.sparkSession.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "n int, line string")
+    joined = F.split(F.lit("\n".join(t for t, _ in texts)), "\n")
+    given = docs.sparkSession.range(1).select(F.posexplode(joined).alias("n", "line"))
     positive = dict(given.select("n", features(words(F.col("line")))).collect())
     found = [positive[i] for i in range(len(texts))] + negative
     target = np.array([n for _, n in texts] + [len(families) - 1] * len(negative))

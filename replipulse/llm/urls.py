@@ -34,7 +34,7 @@ RULES = (
 ALLOW, BLOCK = "allow", "block"
 #: Hosts of pages with fewer characters than this are listed.
 THIN_CHARS = 1000
-#: Bytes of a shard's first level; the further ones add less than as much.
+#: Bytes of the larger of a shard's first two levels; the further ones add less than as much.
 LEVEL_BYTES = 16 << 20
 MOST_LEVELS = 200
 
@@ -132,9 +132,8 @@ def _encode(keys: DataFrame, level: Level) -> None:
 
     got = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     level.map = np.zeros(level.words, np.uint64)
-    rows = got.collect()  # a level's words, whose number is bounded
-    if rows:
-        level.map[[r["word"] for r in rows]] = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
+    words = got.toArrow()  # a level, whose size is bounded
+    level.map[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
 
 
 def cascade(keys: DataFrame) -> list[Level]:
@@ -185,8 +184,11 @@ def judge(
         .agg(F.max("listed").alias("listed"))
     )
     universe = written(hosts.select(*hashes, "listed"), "url-universe")
-    # 1.44 * log2(1 / rate) bits a key, rate 0.001 at least.
-    shards = max(1, math.ceil(universe.filter("listed").count() * 14.4 / 8 / level_bytes))
+    # 1.44 * log2(1 / rate) bits a key, and a rate of 0.001 at least; more than that many
+    # false positives make the second level the larger one.
+    counts = dict(universe.groupBy("listed").count().collect())
+    bits = max(counts.get(True, 0) * 14.4, counts.get(False, 0) * 0.001 * 1.44)
+    shards = max(1, math.ceil(bits / 8 / level_bytes))
     judged = named.select("*", *hashes)
     parts = []
     for shard in range(shards):
