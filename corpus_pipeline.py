@@ -6,6 +6,9 @@ the documents that a stage does not need go through it as they are, whatever the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,23 +22,25 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*places), dict(zip(docs.columns, places))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not among the rows' ``doc_id``; a null matches a null."""
+def _kept(docs: DataFrame, judge: Callable[..., DataFrame], condition: str) -> DataFrame:
+    """The rows for which a condition holds on what an operator says of each.
+
+    The operator hands all columns through, so a row is judged and kept, or left, in the task
+    that read it, without a join.
+    """
     rows, place = _numbered(docs)
-    gone = ids.select(F.col("doc_id").alias("gone")).distinct()
-    kept = rows.join(gone, F.col(place["doc_id"]).eqNullSafe(F.col("gone")), "left_anti")
-    return kept.toDF(*docs.columns)
+    doc_id, text = place["doc_id"], place["text"]
+    found = judge(rows, id_col=doc_id, text_col=text, keep=[c for c in rows.columns if c != doc_id])
+    return found.filter(condition).select(*rows.columns).toDF(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the model knows; those it rejects go.
 
     Null and empty texts and texts without a letter are rejected. Without any labelled
-    document nothing can be learned and every document is rejected. Rows that repeat an id
-    go together.
+    document nothing can be learned and every document is rejected.
     """
-    found = langid.identify(docs, langid.train(docs))
-    return _without(docs, found.filter("rejected"))
+    return _kept(docs, partial(langid.identify, model=langid.train(docs)), "not rejected")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +58,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item; the others go as a whole."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.filter("contaminated"))
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _kept(docs, partial(decontaminate.contamination, benchmark=benchmark), "not contaminated")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +138,7 @@ def _pass(rows: DataFrame, block: Block, last: bool) -> DataFrame:
     sent = spark.sparkContext.broadcast(block)
     longest = max(block.hashes, default=1)
     names = [*rows.columns, *(["spans"] if last else [])]
+    handed = len(rows.columns) - 3
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
     if last:
         fields.append("spans array<struct<start:int,end:int>>")
@@ -157,12 +158,12 @@ def _pass(rows: DataFrame, block: Block, last: bool) -> DataFrame:
                     for (i, first, _), hit, got in zip(pieces[lo:hi], hits, items):
                         ranges[i].append(hit + first)
                         found[i] |= got
-                before = batch.slice(a, b - a).to_pylist()
+                before = batch.slice(a, b - a).select(["hit", "items"]).to_pylist()
                 hit = [
                     merged(np.concatenate([np.array(old["hit"] or [], np.int64).reshape(-1, 2), *new]))
                     for old, new in zip(before, ranges)
                 ]
-                out = [*batch.slice(a, b - a).columns[:2]]
+                out = [*batch.slice(a, b - a).columns[:handed]]
                 out.append(pa.array(counts.tolist(), pa.int64()))
                 out.append(pa.array([h.reshape(-1).tolist() for h in hit], pa.list_(pa.int64())))
                 out.append(
@@ -188,6 +189,7 @@ def contamination(
     item_text_col: str = "text",
     window: int = WINDOW_WORDS,
     block_bytes: int = BLOCK_BYTES,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words``, ``n_hit``, ``items``, ``spans``, ``contaminated``.
 
@@ -197,14 +199,17 @@ def contamination(
     code points. Null and empty texts, and texts without a word, have no words and no hit;
     items without a word have no window. An item without an id marks words but is not
     listed; repeated items count once. Repeated documents each get their row. With an empty
-    benchmark nothing is hit. Columns other than those named are not read.
+    benchmark nothing is hit. ``keep`` names columns to hand through, so that a row can be kept
+    or left where it is; columns other than those named are not read.
     """
     items = pick(benchmark, item=item_col, text=item_text_col)
     held = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-held // block_bytes))
-    rows = pick(docs, id=id_col, text=text_col).select(
+    kept = [f"keep_{i}" for i in range(len(keep))]
+    rows = pick(docs, id=id_col, text=text_col, **dict(zip(kept, keep))).select(
         "id",
         "text",
+        *kept,
         F.lit(0).cast("long").alias("n_words"),
         F.lit(None).cast("array<bigint>").alias("hit"),
         F.lit(None).cast("array<string>").alias("items"),
@@ -227,6 +232,7 @@ def contamination(
         "items",
         "spans",
         (F.size("hit") > 0).alias("contaminated"),
+        *[F.col(k).alias(c) for k, c in zip(kept, keep)],
     )
 
 

@@ -12,7 +12,7 @@ texts whose calibrated score stays below a threshold are rejected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -253,27 +253,47 @@ def train(
     return fit(languages, [np.array(found) for _, _, found in got], target, kept_out)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(
+    docs: DataFrame,
+    model: Model,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: Sequence[str] = (),
+) -> DataFrame:
     """One row per row of ``docs``: id, ``lang_pred``, ``score``, ``rejected``.
 
+    ``keep`` names columns to hand through, so that a row can be kept or left where it is.
     Only the text is looked at. Null and empty texts, and texts without a letter, are
     ``und`` with score zero and rejected; so is every text if the model knows no language.
     A text scoring below the model's threshold keeps its language and is rejected.
     Repeated rows each get their row; an empty table gives none.
     """
-    rows = pick(docs, id=id_col, text=text_col)
-    kind = rows.schema["id"].dataType.simpleString()
+    rows = pick(docs, id=id_col, text=text_col, **{f"keep_{i}": c for i, c in enumerate(keep)})
+    names = ["lang_pred", "score", "rejected", *[c for c in rows.columns if c != "text"]]
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names[3:])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
         for batch in batches:
-            names, scores = held.predict(batch.column(1).to_pylist())
-            rejected = [n == UNDETERMINED or s < held.threshold for n, s in zip(names, scores.tolist())]
+            langs, scores = held.predict(batch.column(1).to_pylist())
+            rejected = [n == UNDETERMINED or s < held.threshold for n, s in zip(langs, scores.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected, pa.bool_())],
-                ["id", "lang_pred", "score", "rejected"],
+                [
+                    pa.array(langs, pa.string()),
+                    pa.array(scores),
+                    pa.array(rejected, pa.bool_()),
+                    batch.column(0),
+                    *batch.columns[2:],
+                ],
+                names,
             )
 
-    found = rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean")
-    return found.withColumnRenamed("id", id_col)
+    found = rows.mapInArrow(run, f"lang_pred string, score double, rejected boolean, {schema}")
+    return found.select(
+        F.col("id").alias(id_col),
+        "lang_pred",
+        "score",
+        "rejected",
+        *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)],
+    )

@@ -107,7 +107,11 @@ def _hashes_of_length(buffer: bytes, starts: np.ndarray, length: int, seed: int)
 
 
 def hashes(buffer: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """XXH64 of parts of a buffer; parts of equal length are hashed together."""
+    """XXH64 of parts of a buffer.
+
+    Parts of equal length are hashed together, as a call for each shingle costs six times
+    the CPU of everything else here; lengths with few parts go to the library.
+    """
     lengths = ends - starts
     order = np.argsort(lengths, kind="stable")
     found = np.empty(len(starts), np.uint64)

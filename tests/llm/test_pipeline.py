@@ -49,19 +49,28 @@ def test_stages_on_the_test_tables(spark, sf_dir):
 
     pieces = stage[names[4]](spark, fourth, sf_dir).collect()
     check_round_trip(fourth.collect(), pieces, exact_encoder())
-    whole = corpus_pipeline.run(spark, sf_dir)
-    assert sum(p.length for p in pieces) == sum(r.length for r in whole.select("length").collect())
 
 
-@pytest.mark.parametrize("change", [lambda d: d, clashing, lambda d: d.limit(0)])
+@pytest.mark.parametrize("change", [clashing, lambda d: d.limit(0)])
 def test_awkward_rows(spark, sf_dir, change):
     docs = change(documents(spark))
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, sf_dir).columns == docs.columns
-        stage(spark, docs, sf_dir).collect()
+        found = stage(spark, docs, sf_dir)
+        assert found.columns == docs.columns
+        found.collect()
     corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
 
 
+def test_run_on_awkward_rows(spark, tmp_path):
+    documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    items = spark.createDataFrame([(1, "eins zwei")], "item_id bigint, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # 4, 5, 6 and 9 have no letter, 2, 3 and the null id are copies of 1, and 7 is an item.
+    assert {p.doc_id for p in pieces} == {1, 8, 10, -11}
+    assert sum(p.length for p in pieces if p.start == 0 and p.doc_id == -11) == 2
+
+
 def test_secrets_leave_null_texts_alone(spark, sf_dir):
     got = corpus_pipeline.secret_scan(spark, documents(spark), sf_dir)
     assert rows(got) == rows(documents(spark))

@@ -40,7 +40,7 @@ def plain(pages):
     return sorted(found, key=repr)
 
 
-@pytest.mark.parametrize("level_bytes", [urls.LEVEL_BYTES, 2])
+@pytest.mark.parametrize("level_bytes", [urls.LEVEL_BYTES, 6])
 def test_awkward_rows(spark, level_bytes):
     df = spark.createDataFrame(PAGES, SCHEMA)
     assert rows(urls.judge(df, level_bytes=level_bytes)) == plain(PAGES)
@@ -49,9 +49,9 @@ def test_awkward_rows(spark, level_bytes):
     assert rows(urls.judge(df.limit(0), level_bytes=level_bytes)) == []
 
 
-@pytest.mark.parametrize("share", [0.001, 0.3, 0.9, 1.0])
+@pytest.mark.parametrize("share", [0.01, 0.9, 1.0])
 def test_cascade_is_exact_over_its_universe(spark, share):
-    keys = spark.range(20_000).select(
+    keys = spark.range(3_000).select(
         F.xxhash64(F.lit(1), "id").alias("first"),
         F.xxhash64(F.lit(2), "id").alias("second"),
         (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1000)) < int(share * 1000)).alias("listed"),
