@@ -172,7 +172,7 @@ def fit(languages: list[str], found: list[np.ndarray], target: np.ndarray, kept_
     return model
 
 
-def rejection(scores: np.ndarray, right: np.ndarray, precision: float = 0.99) -> float:
+def rejection(scores: np.ndarray, right: np.ndarray, precision: float = 0.95) -> float:
     """The lowest score from which on the accepted rows reach the precision.
 
     Held within 0.4 and 0.9: below, no language is likely, and a hard sample must not
