@@ -77,13 +77,13 @@ def packed(columns: Sequence[str], digits: Sequence[int], last: Column | None =
     return total
 
 
-def _exact(keys: Sequence[str]) -> Column:
-    """Key columns as one text that differs if any of them does; NULLs are equal."""
-    parts = [
-        F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
-        for c in keys
-    ]
-    return F.concat(*parts)
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    """Key columns equal their namesakes with a prefix; NULLs are equal."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
+
+
+def _renamed(keys: Sequence[str], prefix: str) -> list[Column]:
+    return [F.col(k).alias(f"{prefix}{k}") for k in keys]
 
 
 def mark_first(
@@ -96,39 +96,36 @@ def mark_first(
     """Flag the first row of every key combination; NULL keys compare equal.
 
     ``order`` names whole numbers, not negative; rows that tie in all of them are first
-    together. A window would sort all rows of one key in one task. Here the order columns
-    are packed, two in a number, and the smallest first number per key comes from a hash
-    aggregation that combines before the shuffle. Only keys that do repeat, and of these only
-    the rows that tie so far, go on to the next numbers. These steps move keys and places,
-    not what else a row holds; the join back is an outer join whose big left side Spark may
-    split when one key is hot. ``lookup`` gives the same rows where keys and order columns
+    together. A window would sort all rows of one key in one task. Here a count finds the
+    keys that do repeat, and only rows of these are compared: their order columns are packed,
+    two in a number, the smallest number per key comes from a hash aggregation that combines
+    before the shuffle, and the rows that tie go on to the next two. All this moves keys and
+    places, not what else a row holds; the join back is an outer join whose big left side Spark
+    may split when one key is hot. ``lookup`` gives the same rows where keys and order columns
     can be had by a narrower scan.
     """
-    pairs = [order[i : i + 2] for i in range(0, len(order), 2)]
-    places = [f"_place_{i}" for i in range(len(pairs))]
-    added = {"_key": _exact(keys)} | {
-        name: packed(pair, [19] * len(pair)) for name, pair in zip(places, pairs)
-    }
-    keyed = df.withColumns(added)
-    narrow = (df if lookup is None else lookup).withColumns(added).select("_key", *places)
+    # Stored, as it is read for the counts and for the rows that repeat.
+    narrow = kept((df if lookup is None else lookup).select(*keys, *order), "places")
     repeated = (
-        narrow.groupBy("_key")
-        .agg(F.min(places[0]).alias(places[0]), F.count(F.lit(1)).alias("_rows"))
+        narrow.groupBy(*_renamed(keys, "_key_"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > 1)
-        .drop("_rows")
-    )
-    first = kept(narrow.join(repeated, ["_key", places[0]]), "first-places")
-    for place in places[1:]:
-        least = first.groupBy("_key").agg(F.min(place).alias(place))
-        first = first.join(least, ["_key", place])
-    first = kept(
-        first.groupBy("_key").agg(*[F.min(p).alias(f"_first{p}") for p in places]), "first-places"
     )
-    same = reduce(lambda a, b: a & b, [F.col(p) == F.col(f"_first{p}") for p in places])
+    first = kept(narrow.join(repeated, _same(keys, "_key_")).select(*keys, *order), "first-places")
+    for i in range(0, len(order), 2):
+        pair = order[i : i + 2]
+        placed = first.withColumn("_place", packed(pair, [19] * len(pair)))
+        least = placed.groupBy(*_renamed(keys, "_key_")).agg(F.min("_place").alias("_least"))
+        tied = placed.join(least, _same(keys, "_key_")).filter("_place = _least")
+        first = tied.select(*keys, *order)
+        if i == 0:  # the further numbers are for the few rows that tie in this one
+            first = kept(first, "first-places")
+    found = first.select(*_renamed(keys, "_key_"), *_renamed(order, "_first_")).distinct()
+    is_first = F.col(f"_first_{order[0]}").isNull() | _same(order, "_first_")
     return (
-        keyed.join(first, "_key", "left")
-        .withColumn(flag, F.col(f"_first{places[0]}").isNull() | same)
-        .drop("_key", *places, *[f"_first{p}" for p in places])
+        df.join(found, _same(keys, "_key_"), "left")
+        .withColumn(flag, is_first)
+        .drop(*[f"_key_{k}" for k in keys], *[f"_first_{c}" for c in order])
     )
 
 

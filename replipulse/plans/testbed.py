@@ -138,10 +138,11 @@ class Testbed:
         suppliers = self.table("supplier")
         owners = suppliers.selectExpr(self.array_number("s_suppkey", 0)).distinct()
         silent = suppliers.selectExpr("s_suppkey AS array_pos").join(owners, "array_pos", "left_anti")
-        empty = silent.filter("array_pos % 3 = 0").select("array_pos", F.lit(0).cast("bigint").alias("page"))
-        return pages.unionByName(empty, allowMissingColumns=True).withColumn(
-            "payload", F.coalesce("payload", F.array().cast(pages.schema["payload"].dataType))
+        nothing = F.array().cast(pages.schema["payload"].dataType).alias("payload")
+        empty = silent.filter("array_pos % 3 = 0").select(
+            "array_pos", F.lit(0).cast("bigint").alias("page"), nothing
         )
+        return pages.unionByName(empty)
 
     # F4
     def links(self, wanted: Sequence[str] | None = None) -> DataFrame:
