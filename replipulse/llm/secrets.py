@@ -9,7 +9,8 @@ of a candidate sets the threshold. One pass goes over its characters with the co
 each character in a window of ``WINDOW``: the entering and the leaving character change two
 counts, and with them the sum of ``c * log2(c)`` that gives the Shannon entropy. The hull of
 the windows at or over the threshold is a span, unless the candidate is on the allow-list
-or the span lies within a pattern's.
+or the span lies within a pattern's. Candidates without a digit and in letters of one case
+are not judged: words run together look the same.
 """
 
 from __future__ import annotations
@@ -44,15 +45,23 @@ CLASSES = (
     ("hex", (r"^(?:[0-9a-f]+|[0-9A-F]+)$", r"[0-9]", r"[a-fA-F]"), 3.0),
     ("base64", (r"[a-z]", r"[A-Z]", r"[0-9]"), 3.9),
     ("alnum", (r"[A-Za-z]", r"[0-9]"), 3.6),
+    # No digit: a lower-case letter without another beside it, which names of words rarely have.
+    ("letters", (r"[A-Z]", r"(?:^|[^a-z])[a-z](?:[^a-z]|$)"), 3.8),
 )
-#: Harmless candidates: ids with dashes, counting rows, samples, one character over and
-#: over, and paths or names of short parts.
+#: A part of a path or name that reads like a word or a number.
+_PART = r"(?:[A-Z]?[a-z]{0,14}|[A-Z]{1,15}|[0-9]{1,15})"
+#: Counting rows, samples with what stands right before them, one character over and over.
+_SAMPLE = (
+    r"(?:[A-Za-z0-9]{0,15}(?i:example|placeholder|changeme)"
+    r"|(?i:0123456789abcdef|abcdefghijklmnop|1234567890123456)|(.)\1{7,}+)"
+)
+#: Harmless candidates: ids with dashes, those with less than a window beside samples, so that
+#: a key joined to one is still seen, and paths or names of short parts like words. Groups
+#: that repeat are possessive: they do not recurse, however long the candidate.
 ALLOW = (
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)0123456789abcdef|abcdefghijklmnop|1234567890123456",
-    r"(?i)example|placeholder|changeme",
-    r"(.)\1{7}",
-    r"^(?:[A-Za-z0-9+=]{0,15}[/_-])+[A-Za-z0-9+=]{0,15}$",
+    rf"^(?:.{{0,{WINDOW - 1}}}?{_SAMPLE})++.{{0,{WINDOW - 1}}}$",
+    rf"^(?:{_PART}[/_-])++{_PART}={{0,2}}$",
 )
 REDACTED = "[SECRET]"
 #: Array elements added up in one go; longer arrays are summed in two levels.

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -113,3 +114,40 @@ def test_redaction(spark):
             expected += row.text[at:start] + secrets.REDACTED
             at = end
         assert row.clean == expected + row.text[at:]
+
+
+KEY = "Zx8Qw3Rt7Yp2Lk5Mn9Bv4Cd6Zx8Qw3Rt7Yp2Lk5M"
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("Zx8Qw3Rt7_Yp2Lk5Mn9-Bv4Cd6Hs", True),  # separators within a token
+        ("Zx8Qw3Rt7/Yp2Lk5Mn9+Bv4Cd6==", True),
+        (f"/opt/example/{KEY}", True),
+        (f"/opt/{KEY}/changeme", True),
+        (f"{'-' * 12}{KEY}", True),
+        (f"0123456789abcdef-{KEY}", True),
+        ("ZxqQwbRtkYpfLkvMnsBvhCdgHs", True),  # no digit
+        ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", False),
+        ("usr/local/lib/python/Site-packages/2024/NAMES", False),
+        ("AbstractSingletonProxyFactory", False),
+        ("550e8400-e29b-41d4-a716-446655440000", False),
+        ("a/" * 50_000, False),
+        ("x" * 100_000, False),
+    ],
+)
+def test_harmless_neighbours_do_not_hide_a_key(spark, text, found):
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    spans = secrets.scan(df).first().found
+    assert [s.kind for s in spans] == ["entropy"] * found
+    if KEY in text:
+        assert spans[0].start <= text.index(KEY) and text.index(KEY) + len(KEY) <= spans[0].end
+
+
+@pytest.mark.parametrize("length", [24, 27, 32, 43])
+def test_random_tokens_are_not_allowed(length):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    rng = random.Random(length)
+    tokens = ["".join(rng.choices(letters, k=length)) for _ in range(4000)]
+    assert not any(re.search(a, t) for t in tokens for a in secrets.ALLOW)
