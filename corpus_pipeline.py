@@ -44,16 +44,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id.
+    """One row of each group of near-duplicates, that with the smallest id.
 
-    Rows that repeat an id are one document, of which one row stays. Rows without an id
-    go, as nothing could name them as the one that stays.
+    Groups go by text alone: rows that share an id but not their text are judged apart, and a
+    group without any id keeps a row as well. Ties go to the smallest hash of the whole row;
+    rows alike in all columns are one.
     """
-    found = simhash.near_duplicates(docs)
-    stays = found.filter("component_id = doc_id").select(F.col("doc_id").alias("stays"))
     rows, place = _numbered(docs)
-    kept = rows.join(stays, F.col(place["doc_id"]) == F.col("stays"), "left_semi")
-    return kept.dropDuplicates([place["doc_id"]]).toDF(*docs.columns)
+    told = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    # Hashes pass over nulls, so where they stand is hashed too.
+    whole = [*told, *[F.isnull(c) for c in rows.columns]]
+    marks = [F.xxhash64(F.lit(salt), *whole).alias(salt) for salt in ("first", "second")]
+    marked = rows.select("*", *marks)
+    stays = simhash.survivors(marked, place["doc_id"], place["text"], ("first", "second"))
+    kept = marked.join(stays, ["first", "second"], "left_semi").dropDuplicates(["first", "second"])
+    return kept.select(*rows.columns).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,10 +162,14 @@ def fingerprints(
     text_col: str = "text",
     shingle: int = SHINGLE_WORDS,
     seed: int = SEED,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``id`` and ``fp`` (the fingerprint as a signed long) of every row. Null text: zero."""
-    rows = pick(docs, id=id_col, text=text_col)
-    kind = rows.schema["id"].dataType.simpleString()
+    """``id``, columns to hand through, and ``fp`` (the fingerprint as a signed long) of every row.
+
+    Null text: zero.
+    """
+    rows = pick(docs, id=id_col, text=text_col, **{c: c for c in keep})
+    fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("id", *keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,9 +177,10 @@ def fingerprints(
             sizes = [len(t or b"") for t in texts]
             parts = [simhashes(texts[a:b], shingle, seed) for a, b in in_chunks(sizes, CHUNK_BYTES)]
             fps = np.concatenate(parts or [np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
+            handed = [batch.column(0), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*handed, pa.array(fps)], ["id", *keep, "fp"])
 
-    return rows.mapInArrow(run, f"id {kind}, fp long")
+    return rows.mapInArrow(run, ", ".join([*fields, "fp long"]))
 
 
 # --- Golay keys --------------------------------------------------------------
@@ -431,6 +436,17 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small.filter("a != b").distinct(), "simhash-round")
 
 
+def _grouped(rows: DataFrame, bits: int, block: int) -> DataFrame:
+    """``fp``, ``root`` (a fingerprint that names the group) and ``component_id`` (its smallest id)."""
+    # Copies fall together here: what follows grows with the distinct fingerprints.
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
+    roots = components(links(distinct, bits, block)).select(F.col("node").alias("fp"), "root")
+    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = written(rooted, "simhash-roots")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rooted.join(smallest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -449,15 +465,32 @@ def near_duplicates(
     than the two named are not read. An empty table gives no row.
     """
     rows = written(fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
-    # Copies fall together here: what follows grows with the distinct fingerprints.
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
-    roots = components(links(distinct, bits, block)).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = written(rooted, "simhash-roots")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    named = _grouped(rows, bits, block)
     return rows.join(named, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def survivors(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    marks: tuple[str, str],
+    shingle: int = SHINGLE_WORDS,
+    bits: int = MAX_BITS,
+    block: int = BLOCK,
+) -> DataFrame:
+    """The marks of one row of each group: two longs that name a row, whatever its id.
+
+    The row with the smallest id stays; of several, or if the group has no id, that with the
+    smallest first mark. Groups go by fingerprints, so an id that repeats joins none.
+    """
+    first, second = marks
+    prints = fingerprints(docs, id_col, text_col, shingle, keep=marks)
+    rows = written(prints, "simhash-fingerprints")
+    held = rows.join(_grouped(rows, bits, block), "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
+    # Longs alone, so that this is a hash aggregation.
+    least = held.groupBy("root").agg(F.min(first).alias("_first"), F.min_by(second, first).alias("_second"))
+    return least.select(F.col("_first").alias(first), F.col("_second").alias(second))

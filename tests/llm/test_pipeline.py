@@ -74,3 +74,27 @@ def test_run_on_awkward_rows(spark, tmp_path):
 def test_secrets_leave_null_texts_alone(spark, sf_dir):
     got = corpus_pipeline.secret_scan(spark, documents(spark), sf_dir)
     assert rows(got) == rows(documents(spark))
+
+
+def _prose(seed):
+    return " ".join(f"w{seed}x{i * i % 89}" for i in range(80))
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark, sf_dir):
+    """Groups without ids keep a row; ids that repeat neither join groups nor lose them."""
+    texts = {name: _prose(n) for n, name in enumerate("ABCDEF")}
+    given = [
+        (None, "A"), (None, "A"), (None, "B"), (7, "C"), (7, "D"), (3, "D"), (7, "E"), (7, "E"), (9, "F"), (None, "F"),
+    ]
+    docs = spark.createDataFrame(
+        [(i, texts[t], "en", None if n % 2 else "s", 1) for n, (i, t) in enumerate(given)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    )
+    names = {text: name for name, text in texts.items()}
+    expected = sorted([(None, "A"), (None, "B"), (7, "C"), (3, "D"), (7, "E"), (9, "F")], key=repr)
+    kept = set()
+    for parts in (1, 3, 7):
+        found = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), sf_dir)
+        assert sorted(((r.doc_id, names[r.text]) for r in found.collect()), key=repr) == expected
+        kept.add(tuple(rows(found)))
+    assert len(kept) == 1
