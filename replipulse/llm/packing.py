@@ -13,6 +13,10 @@ turn negative. Deficits are carried from window to window and are zero at the fr
 
 Weights are the queues' own tokens unless given: then all queues end together. With
 other weights, the queues that last longer share what the ended ones leave.
+
+Sources without a queue of their own share one. Their documents are cut into pieces, which
+stand in the shared queue by each source's own time, so that any stretch of it holds its
+sources in proportion. The weight of a shared queue is the sum of its sources'.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ WINDOW = 2048  # tokens of a full sequence
 FRAME = 128  # windows
 QUANTUM = 128  # tokens
 END = 1  # id after each document
-#: Queues of their own for so many sources, those with most rows; the others share.
+#: Queues of their own for so many sources, those with most tokens; the others share.
 OWN_QUEUES, SHARED_QUEUES = 448, 64
 CHUNK_CHARS = 1 << 20
 
@@ -84,45 +88,91 @@ def _paths(tokenizer_path: str | None, ranks_path: str | None) -> tuple[str, str
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def tokenized(
-    rows: DataFrame, queues: Mapping[str, int], tokenizer_path: str | None, ranks_path: str | None
-) -> DataFrame:
-    """Ids of every row, its queue, and its place in what its task has of that queue."""
+def tokenized(rows: DataFrame, tokenizer_path: str | None, ranks_path: str | None) -> DataFrame:
+    """Ids of every row, its source, and its place in what its task has of that source."""
     kind = rows.schema["id"].dataType.simpleString()
-    own = dict(queues)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*_paths(tokenizer_path, ranks_path))
         part = TaskContext.get().partitionId()
-        filled: dict[int, int] = {}
+        filled: dict[str, int] = {}
         for batch in batches:
             texts = batch.column(2).to_pylist()
             sources = batch.column(1).to_pylist()
             for a, b in in_chunks([len(t or "") for t in texts], CHUNK_CHARS):
-                ids, queue, places, sizes = [], [], [], []
+                ids, names, places, sizes = [], [], [], []
                 for text, source in zip(texts[a:b], sources[a:b]):
                     found = np.array([*encoder.ids(text or ""), END], "<u4")
-                    q = own.get(source or "", -1)
-                    if q < 0:
-                        q = len(own) + zlib.crc32(source.encode()) % SHARED_QUEUES
-                    places.append(filled.get(q, 0))
-                    filled[q] = places[-1] + len(found)
-                    queue.append(q)
+                    name = source or ""
+                    places.append(filled.get(name, 0))
+                    filled[name] = places[-1] + len(found)
+                    names.append(name)
                     sizes.append(len(found))
                     ids.append((found.astype("<u2") if found.max() < 1 << 16 else found).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array([part] * (b - a), pa.int64()),
-                        pa.array(queue, pa.int64()),
+                        pa.array(names, pa.string()),
                         pa.array(places, pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array(ids, pa.binary()),
                     ],
-                    ["id", "part", "queue", "place", "size", "ids"],
+                    ["id", "part", "source", "place", "size", "ids"],
                 )
 
-    return rows.mapInArrow(run, f"id {kind}, part long, queue long, place long, size long, ids binary")
+    return rows.mapInArrow(run, f"id {kind}, part long, source string, place long, size long, ids binary")
+
+
+def _before(rows: DataFrame, key: str) -> DataFrame:
+    """Per key and part, the tokens of the parts before."""
+    parts = rows.groupBy(key, "part").agg(F.sum("size").alias("size"))
+    so_far = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(key, "part", "size", F.coalesce(F.sum("size").over(so_far), F.lit(0)).alias("before"))
+
+
+def _interleaved(rows: DataFrame, piece: int) -> DataFrame:
+    """Rows of shared queues, with ``source``, ``place`` in it and ``weight``, as pieces with a
+    place in the queue: by the time of their middle.
+
+    A range sort over keys that end in a place, so no range is one large source or queue.
+    """
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(piece).cast("long")))
+    cut = rows.withColumn("start", at).withColumn("length", F.least(F.col("size") - F.col("start"), F.lit(piece)))
+    width = F.octet_length("ids") / F.col("size")
+    data = F.substring("ids", (F.col("start") * width + 1).cast("int"), (F.col("length") * width).cast("int"))
+    place = F.col("place") + F.col("start")
+    time = (place + F.col("length") / 2) / F.col("weight")
+    pieces = cut.select(
+        "id", "queue", time.alias("time"), "source", place.alias("place"), F.col("length").alias("size"),
+        data.alias("ids"), "start", F.col("size").alias("doc_tokens"),
+    )
+    order = ["queue", "time", "source", "place"]
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        filled: dict[int, int] = {}
+        for batch in batches:
+            queue, size = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("queue", "size"))
+            places = np.cumsum(size) - size
+            for q in np.unique(queue):
+                mine = queue == q  # neighbours, as rows are in order
+                places[mine] += filled.get(int(q), 0) - places[mine][0]
+                filled[int(q)] = int(places[mine][-1] + size[mine][-1])
+            kept = [batch.column(n) for n in ("id", "queue", "size", "ids", "start", "doc_tokens")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(places.astype(np.int64)), pa.array(np.full(len(size), part, np.int64))],
+                ["id", "queue", "size", "ids", "start", "doc_tokens", "place", "part"],
+            )
+
+    ordered = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = f"id {kind}, queue long, size long, ids binary, start long, doc_tokens long, place long, part long"
+    found = written(ordered.mapInArrow(number, schema), "packing-shared")
+    parts = written(_before(found, "queue"), "packing-shared-parts")
+    return found.join(parts.select("queue", "part", "before"), ["queue", "part"]).select(
+        "id", "queue", (F.col("before") + F.col("place")).alias("place"), "size", "ids", "start", "doc_tokens"
+    )
 
 
 # --- ranks -------------------------------------------------------------------
@@ -168,6 +218,7 @@ def _to_frames(mixture: Mixture, frame_tokens: int, kind: str):
                 batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3)
             )
             ids = batch.column(4).to_pylist()
+            base, whole = (batch.column(i).to_numpy(zero_copy_only=False) for i in (5, 6))
             first = mixture.rank(queue, place) // frame_tokens
             last = mixture.rank(queue, place + size - 1) // frame_tokens
             row = np.repeat(np.arange(len(queue)), last - first + 1)
@@ -197,9 +248,9 @@ def _to_frames(mixture: Mixture, frame_tokens: int, kind: str):
                         pa.array(frame[at]),
                         pa.array(queue[r]),
                         pa.array(place[r] + start[at]),
-                        pa.array(start[at]),
+                        pa.array(base[r] + start[at]),
                         pa.array(end[at] - start[at]),
-                        pa.array(size[r]),
+                        pa.array(whole[r]),
                         pa.array(cut, pa.binary()),
                     ],
                     ["id", "frame", "queue", "place", "start", "length", "doc_tokens", "ids"],
@@ -337,38 +388,48 @@ def pack(
     none is padded. Null and empty texts are the end id alone. A null source is a queue of
     its own, named by the empty text. Rows that repeat are packed as often as they come.
     Columns other than those named are not read; an empty table gives no row. The sources
-    with most rows have their own queue, the rest share queues by a hash of their name;
-    ``weights`` by source hold for sources with a queue of their own, others keep the
-    weight of their tokens.
+    with most tokens have their own queue, the rest share queues by a hash of their name, in
+    pieces of ``quantum`` tokens at most; ``weights`` hold for the sources they name, others
+    keep the weight of their tokens.
     """
     rows = pick(docs, id=id_col, source=source_col, text=text_col)
-    most = (
-        rows.groupBy(F.coalesce("source", F.lit("")).alias("source"))
-        .count()
-        .orderBy(F.desc("count"), "source")
-        .limit(OWN_QUEUES)
-        .collect()
+    tokens = written(tokenized(rows, tokenizer_path, ranks_path), "packing-tokens")
+    parts = written(_before(tokens, "source"), "packing-parts")
+    totals = written(parts.groupBy("source").agg(F.sum("size").alias("tokens")), "packing-totals")
+    most = totals.orderBy(F.desc("tokens"), "source").limit(OWN_QUEUES).collect()
+    own = {r["source"]: i for i, r in enumerate(most)}
+    given = {source or "": float(weight) for source, weight in (weights or {}).items()}
+    size = totals.agg(F.count("*").alias("sources"), F.sum("tokens").alias("tokens")).first()
+    named = rows.sparkSession.createDataFrame(
+        [(s, own.get(s), given.get(s)) for s in sorted({*own, *given})], "source string, own long, given double"
     )
-    queues = {r["source"]: i for i, r in enumerate(most)}
-    tokens = written(tokenized(rows, queues, tokenizer_path, ranks_path), "packing-tokens")
-    parts = tokens.groupBy("queue", "part").agg(F.sum("size").alias("size"))
-    before = F.coalesce(
-        F.sum("size").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
+    shared = F.lit(len(own)) + F.pmod(F.crc32("source"), F.lit(SHARED_QUEUES))
+    sources = written(
+        totals.join(named, "source", "left").select(
+            "source",
+            "tokens",
+            F.coalesce("own", shared).alias("queue"),
+            F.coalesce(F.col("given") * (size["tokens"] or 0), F.col("tokens").cast("double")).alias("weight"),
+        ),
+        "packing-sources",
     )
-    parts = written(parts.select("queue", "part", "size", before.alias("before")), "packing-parts")
-    totals = np.zeros(len(queues) + SHARED_QUEUES, np.int64)
-    for r in parts.groupBy("queue").agg(F.sum("size").alias("size")).collect():  # a row per queue
-        totals[r["queue"]] = r["size"]
-    share = np.maximum(totals, 1).astype(float)
-    for source, weight in (weights or {}).items():
-        if source in queues:
-            share[queues[source]] = weight * totals.sum()
+    held = np.zeros(len(own) + SHARED_QUEUES, np.int64)
+    share = np.ones(len(held))
+    queues = sources.groupBy("queue").agg(F.sum("tokens").alias("tokens"), F.sum("weight").alias("weight"))
+    for r in queues.collect():  # a row per queue
+        held[r["queue"]], share[r["queue"]] = r["tokens"], r["weight"]
     kind = rows.schema["id"].dataType.simpleString()
-    cut, schema = _to_frames(Mixture(totals, share), window * frame_windows, kind)
-    placed = tokens.join(parts.select("queue", "part", "before"), ["queue", "part"]).select(
-        "id", "queue", (F.col("before") + F.col("place")).alias("place"), "size", "ids"
+    cut, schema = _to_frames(Mixture(held, share), window * frame_windows, kind)
+    starts = written(
+        parts.join(sources, "source").select("source", "part", "before", "queue", "weight"), "packing-starts"
+    )
+    found = tokens.join(starts, ["source", "part"]).withColumn("place", F.col("before") + F.col("place"))
+    alone = found.filter(F.col("queue") < len(own)) if size["sources"] > len(own) else found
+    placed = alone.select(
+        "id", "queue", "place", "size", "ids", F.lit(0).cast("long").alias("start"), F.col("size").alias("doc_tokens")
     )
+    if size["sources"] > len(own):
+        placed = placed.unionByName(_interleaved(found.filter(F.col("queue") >= len(own)), quantum))
     frames = placed.mapInArrow(cut, schema).repartition("frame").sortWithinPartitions("frame", "queue", "place")
     run = _packer(window, frame_windows, quantum, with_ids, to_arrow_type(rows.schema["id"].dataType))
     packed = frames.select("id", "frame", "queue", "start", "length", "doc_tokens", "ids").mapInArrow(

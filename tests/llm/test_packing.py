@@ -139,3 +139,39 @@ def test_query_on_the_test_tables(spark, sf_dir, exact):
     got = queries.op6_mixture_packing(spark, sf_dir).collect()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     assert sum(r.length for r in got) == sum(len(exact.ids(d.text or "")) + 1 for d in docs)
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 1, "b": 1, "c": 1}])
+def test_shared_queues_hold_the_mixture(spark, exact, monkeypatch, weights):
+    """As above, but sources share a queue, and one has few, long documents that come first."""
+    monkeypatch.setattr(packing, "OWN_QUEUES", 1)
+    monkeypatch.setattr(packing, "SHARED_QUEUES", 1)
+    texts = [("own", 6, 20_000), ("a", 4, 20_000), ("b", 100, 400), ("c", 50, 400)]
+    rows = [(source, "word " * words) for source, count, words in texts for _ in range(count)]
+    rows = [(i, text, source) for i, (source, text) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").coalesce(2)
+    source = {r[0]: r[2] for r in rows}
+    pieces = packing.pack(docs, weights=weights, frame_windows=8).collect()
+    check_round_trip(docs.collect(), pieces, exact)
+    windows = {}
+    for p in pieces:
+        counts = windows.setdefault(p.sequence_id, dict.fromkeys(("a", "b", "c"), 0))
+        if source[p.doc_id] != "own":
+            counts[source[p.doc_id]] += p.length
+    full = np.array([[c[s] for s in "abc"] for _, c in sorted(windows.items())])[:-12]
+    shares = full / np.maximum(full.sum(axis=1, keepdims=True), 1)
+    if weights:  # until the smallest source ends
+        shares, target = shares[: len(shares) // 4], [1 / 3] * 3
+    else:
+        target = [4 / 7, 2 / 7, 1 / 7]
+    assert len(shares) > 10 and np.abs(shares - target).max() < 4 * packing.QUANTUM / packing.WINDOW
+
+
+def test_queues_go_to_the_sources_with_most_tokens(spark, monkeypatch):
+    monkeypatch.setattr(packing, "OWN_QUEUES", 1)
+    rows = [(0, "word " * 3000, "few")] + [(i, "word", "many") for i in range(1, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    seen = []
+    monkeypatch.setattr(packing, "_interleaved", lambda rows, piece, f=packing._interleaved: (seen.append(rows), f(rows, piece))[1])
+    packing.pack(docs, with_ids=False).collect()
+    assert [r[0] for r in seen[0].select("source").distinct().collect()] == ["many"]
