@@ -17,6 +17,7 @@ from replipulse.llm import (
     secrets,
     simhash,
     spelling,
+    substrings,
     topk,
     urls,
     warc,
@@ -115,6 +116,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+@registered
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(_table(spark, sf_dir, "documents"), stored=True)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @registered
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling.variants(_table(spark, sf_dir, "documents"))
