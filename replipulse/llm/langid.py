@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from replipulse.llm.common import in_chunks, pick
+from replipulse.llm.common import in_chunks, pick, written
 
 SIZES = (2, 3, 4)  # characters of a subword
 BUCKETS, DIMENSIONS = 1 << 15, 16  # buckets: a power of two
@@ -205,49 +205,57 @@ def train(
     """A model from at most ``rows_per_language`` labelled rows of each language.
 
     Rows of the held-out fold, and rows with a null language or no text, teach nothing.
-    Rows are taken in the order of a hash of their id. The driver gets ``SUBWORDS`` hashed
-    subwords of each row, 2 kB, and at most ``SAMPLE_ROWS`` rows. Without any such row the
-    model knows no language.
+    Texts are taken in the order of a hash of language and text, each once, whatever the ids
+    of its rows: null ids and ids that repeat change nothing, and copies, which tie, count
+    as one text. The driver gets ``SUBWORDS`` hashed subwords of each text, 2 kB, and at most
+    ``SAMPLE_ROWS`` texts; of more languages than half as many, the most frequent are learned.
+    Without any such row the model knows no language.
     """
     rows = pick(docs, id=id_col, text=text_col, lang=lang_col)
-    taught = rows.filter((fold(F.col("id")) != held_out) & F.col("lang").isNotNull())
-    counts = dict(taught.groupBy("lang").count().collect())
-    if not counts:
+    labelled = rows.filter((fold(F.col("id")) != held_out) & F.col("lang").isNotNull())
+    taught = labelled.select("lang", "text", F.xxhash64("lang", "text", F.lit(SEED)).alias("mark"))
+    counts = taught.groupBy("lang").agg(F.approx_count_distinct("mark").alias("texts"))
+    counts = written(counts.orderBy(F.desc("texts"), "lang").limit(SAMPLE_ROWS // 2), "langid-languages")
+    languages = counts.count()
+    if not languages:
         return Model([], np.zeros((1, 0)), np.zeros(0), 1.0, 0.4)
-    limit = max(2, min(rows_per_language, SAMPLE_ROWS // len(counts)))
-    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(SEED)), F.lit(1 << 30))
-    share = F.lit(0.0)
-    for lang, count in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 2 * limit / count)).otherwise(share)
-    near = taught.withColumn("place", place).filter(F.col("place") < share * (1 << 30))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
-    chosen = near.select("lang", "place", "id").withColumn("rank", rank).filter(F.col("rank") <= limit)
-    bound = chosen.groupBy("lang").agg(F.max("place").alias("to")).collect()
-    last = F.lit(-1)
-    for lang, to in bound:
-        last = F.when(F.col("lang") == lang, to).otherwise(last)
-    sample = near.filter(F.col("place") <= last).select("lang", "place", "text")
+    limit = max(2, min(rows_per_language, SAMPLE_ROWS // languages))
+    # Thinned to some twice as many before texts are told apart and put in order.
+    place = F.pmod("mark", F.lit(1 << 30))
+    near = taught.select("lang", "mark").join(counts, "lang").filter(place < F.least(2 * limit / F.col("texts"), F.lit(1.0)) * (1 << 30))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    chosen = near.groupBy("lang", "mark").count().withColumn("rank", rank).filter(F.col("rank") <= limit)
+    # Stored: Spark knows its bytes, SAMPLE_ROWS narrow rows.
+    chosen = written(chosen.select("lang", "mark"), "langid-sample")
+    sample = taught.join(chosen, ["lang", "mark"]).select("lang", "mark", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # of a task, no more than were chosen
         for batch in batches:
+            fresh = []
+            for i, pair in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if pair not in seen:
+                    seen.add(pair)
+                    fresh.append(i)
+            some = batch.take(pa.array(fresh, pa.int64()))
             spread = []
-            for text in batch.column(2).to_pylist():
+            for text in some.column(2).to_pylist():
                 parts = [hashed for hashed, _ in subwords([text])]
                 parts = np.concatenate(parts) if parts else np.empty(0, np.int64)
                 at = np.linspace(0, len(parts) - 1, min(SUBWORDS, len(parts))).astype(np.int64)
                 spread.append(parts[at])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(spread, pa.list_(pa.int64()))],
-                ["lang", "place", "found"],
+                [some.column(0), some.column(1), pa.array(spread, pa.list_(pa.int64()))],
+                ["lang", "mark", "found"],
             )
 
-    got = sample.mapInArrow(run, "lang string, place long, found array<bigint>").collect()
-    got = sorted((r["lang"], r["place"], r["found"]) for r in got if r["found"])
+    found = sample.mapInArrow(run, "lang string, mark long, found array<bigint>").filter("size(found) > 0")
+    got = sorted((r["lang"], r["mark"], r["found"]) for r in found.groupBy("lang", "mark").agg(F.first("found").alias("found")).collect())
     if not got:
         return Model([], np.zeros((1, 0)), np.zeros(0), 1.0, 0.4)
     languages = sorted({lang for lang, _, _ in got})
     target = np.array([languages.index(lang) for lang, _, _ in got])
-    kept_out = np.array([place % 5 == 0 for _, place, _ in got])
+    kept_out = np.array([mark % 5 == 0 for _, mark, _ in got])
     if kept_out.all():
         kept_out[:] = False
     return fit(languages, [np.array(found) for _, _, found in got], target, kept_out)

@@ -130,6 +130,29 @@ SELECT page_id, host, path, rule, listed,
 FROM ruled
 """
 
+_SUFFIXES = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (
+    SELECT r, p, substr(h, 2 * p + 1, 400) AS s
+    FROM (SELECT r, h, unnest(range(length(h) // 2 - 199)) AS p FROM docs WHERE length(h) >= 400)
+),
+again AS (SELECT r, p FROM starts WHERE s IN (SELECT s FROM starts GROUP BY s HAVING count(*) > 1)),
+marked AS (
+    SELECT r, p, coalesce(p - lag(p) OVER w > 200, true) AS fresh FROM again WINDOW w AS (PARTITION BY r ORDER BY p)
+),
+numbered AS (SELECT r, p, sum(CAST(fresh AS INT)) OVER (PARTITION BY r ORDER BY p) AS k FROM marked),
+spans AS (SELECT r, k, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY r, k),
+edged AS (SELECT r, k, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY k) AS before FROM spans),
+cut AS (
+    SELECT r, sum(b - a) AS removed, count(*) AS n, max(b) AS tail,
+           string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY k) AS kept
+    FROM edged JOIN docs USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * tail + 1), h))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (r)
+"""
+
 _SPELLING = r"""
 WITH crc_table AS (
     SELECT list(c ORDER BY i) AS t
@@ -219,6 +242,7 @@ TWINS: dict[str, str] = {
     "op7_chat_format": _CHAT,
     "op9_decontamination": _DECONTAMINATION,
     "op10_url_filter": _URLS,
+    "op11_suffix_dedup": _SUFFIXES,
     "op12_spelling_variants": _SPELLING,
     "op13_hard_negatives": _NEGATIVES,
 }

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from cases import clashing, documents, rows
+from cases import SCHEMA, clashing, documents, rows
 from pyspark.sql import functions as F
 
 from replipulse.llm import langid, queries
@@ -93,3 +93,66 @@ def test_labels_ids_and_sources_do_not_matter(spark, sf_dir):
     changed = docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("s").alias("source"))
     there = {r.doc_id + 1000: tuple(r)[1:] for r in langid.identify(docs, model).collect()}
     assert {r.doc_id: tuple(r)[1:] for r in langid.identify(changed, model).collect()} == there
+
+
+def labelled(spark, count, doc_id):
+    words = {"en": "the house of wood", "de": "das haus aus holz", "fr": "la maison en bois"}
+    texts = [(n, f"{w} {' '.join(w.split()[(n * 7) % 4] for _ in range(3))} {n}") for n in range(count) for w in [list(words.values())[n % 3]]]
+    return spark.createDataFrame([(doc_id(n), t, list(words)[n % 3], None, 0) for n, t in texts], SCHEMA)
+
+
+@pytest.mark.parametrize("doc_id", [lambda n: None, lambda n: 35, lambda n: n if n % 3 else None], ids=["null", "one", "third"])
+def test_ids_do_not_decide_what_is_learned(spark, monkeypatch, doc_id):
+    seen = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda names, found, target, kept: (seen.append(np.bincount(target)), fit(names, found, target, kept))[1])
+    docs = labelled(spark, 6000, doc_id)
+    model = langid.train(docs, rows_per_language=200)
+    assert model.languages == ["de", "en", "fr"]
+    assert seen[0].tolist() == [200, 200, 200]  # a full sample, and no more reaches the driver
+    assert langid.identify(docs, model).filter("not rejected").count() > 5900
+
+
+def test_copies_count_once_and_languages_are_bounded(spark, monkeypatch):
+    seen = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda names, found, target, kept: (seen.append(len(target)), fit(names, found, target, kept))[1])
+    copies = spark.createDataFrame([(n, "immer der gleiche text", "de", None, 0) for n in range(4000) if n % 4 != 2], SCHEMA)
+    langid.train(copies.unionByName(labelled(spark, 90, lambda n: 1)), rows_per_language=50)
+    assert seen[0] <= 31 + 60
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 20)
+    many = spark.createDataFrame([(1, f"text {n}", f"l{n % 40}", None, 0) for n in range(400)], SCHEMA)
+    assert len(langid.train(many).languages) <= 10 and seen[1] <= 20
+
+
+def plain_scores(model, text):
+    """Subword by subword, without arrays."""
+    lowered = text.lower()
+    padded = "\n" + lowered + "\n"
+    total, number = np.zeros(len(model.languages)), 0
+    for size in langid.SIZES:
+        for i in range(len(padded) - size + 1):
+            gram = padded[i : i + size]
+            letters = [c.isalpha() for c in gram]
+            if size == 2 and any(letters) or size > 2 and all(letters[1:-1]):
+                h = size
+                for c, letter in zip(gram, letters):
+                    h = ((h ^ (ord(c) if letter else 0)) * 0x9E3779B1) % 2**32
+                    h ^= h >> 15
+                total = total + model.table[h % len(model.table)]
+                number += 1
+    logits = (total / max(number, 1) + model.bias) / model.temperature
+    powers = np.exp(logits - logits.max())
+    return powers / powers.sum()
+
+
+def test_scores_equal_a_plain_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs)
+    for r in langid.identify(docs, model, keep=["text"]).limit(60).collect():
+        if not langid.has_letter(r["text"]):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        odds = plain_scores(model, r["text"])
+        assert r["score"] == pytest.approx(odds.max()) and r["lang_pred"] == model.languages[int(odds.argmax())]
+        assert r["rejected"] == (r["score"] < model.threshold)
