@@ -91,42 +91,39 @@ def mark_first(
     keys: Sequence[str],
     order: Sequence[str],
     flag: str = "is_first",
-    lookup: DataFrame | None = None,
 ) -> DataFrame:
     """Flag the first row of every key combination; NULL keys compare equal.
 
     ``order`` names whole numbers, not negative; rows that tie in all of them are first
-    together. A window would sort all rows of one key in one task. Here a count finds the
-    keys that do repeat, and only rows of these are compared: their order columns are packed,
-    two in a number, the smallest number per key comes from a hash aggregation that combines
-    before the shuffle, and the rows that tie go on to the next two. All this moves keys and
-    places, not what else a row holds; the join back is an outer join whose big left side Spark
-    may split when one key is hot. ``lookup`` gives the same rows where keys and order columns
-    can be had by a narrower scan.
+    together. A window would sort all rows of one key in one task. Here one hash aggregation,
+    which combines before the shuffle, tells how often a key occurs and the smallest number
+    that its first two order columns make; it is stored, so that Spark knows its size and
+    may split a hot key in the joins. Of further order columns only those of rows that tie in
+    the first two are compared, two at a time. ``df`` is read up to three times, and but for
+    the last time only its keys and order columns, so it should be stored.
     """
-    # Stored, as it is read for the counts and for the rows that repeat.
-    narrow = kept((df if lookup is None else lookup).select(*keys, *order), "places")
-    repeated = (
-        narrow.groupBy(*_renamed(keys, "_key_"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > 1)
+    pair = order[:2]
+    placed = df.select(*keys, *order).withColumn("_place", packed(pair, [19] * len(pair)))
+    least = placed.groupBy(*_renamed(keys, "_key_")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_least")
     )
-    first = kept(narrow.join(repeated, _same(keys, "_key_")).select(*keys, *order), "first-places")
-    for i in range(0, len(order), 2):
-        pair = order[i : i + 2]
-        placed = first.withColumn("_place", packed(pair, [19] * len(pair)))
-        least = placed.groupBy(*_renamed(keys, "_key_")).agg(F.min("_place").alias("_least"))
+    least = kept(least.filter(F.col("_rows") > 1).drop("_rows"), "first-places")
+    if len(order) <= 2:
+        found, place = least, packed(pair, [19] * len(pair))
+        is_first = F.col("_least").isNull() | (F.col("_least") == place)
+    else:
         tied = placed.join(least, _same(keys, "_key_")).filter("_place = _least")
-        first = tied.select(*keys, *order)
-        if i == 0:  # the further numbers are for the few rows that tie in this one
-            first = kept(first, "first-places")
-    found = first.select(*_renamed(keys, "_key_"), *_renamed(order, "_first_")).distinct()
-    is_first = F.col(f"_first_{order[0]}").isNull() | _same(order, "_first_")
-    return (
-        df.join(found, _same(keys, "_key_"), "left")
-        .withColumn(flag, is_first)
-        .drop(*[f"_key_{k}" for k in keys], *[f"_first_{c}" for c in order])
-    )
+        first = kept(tied.select(*keys, *order), "first-ties")
+        for i in range(2, len(order), 2):
+            pair = order[i : i + 2]
+            placed = first.withColumn("_place", packed(pair, [19] * len(pair)))
+            least = placed.groupBy(*_renamed(keys, "_key_")).agg(F.min("_place").alias("_least"))
+            tied = placed.join(least, _same(keys, "_key_")).filter("_place = _least")
+            first = tied.select(*keys, *order)
+        found = first.select(*_renamed(keys, "_key_"), *_renamed(order, "_first_")).distinct()
+        is_first = F.col(f"_first_{order[0]}").isNull() | _same(order, "_first_")
+    extra = [c for c in found.columns if c not in df.columns]
+    return df.join(found, _same(keys, "_key_"), "left").withColumn(flag, is_first).drop(*extra)
 
 
 def blank_where(df: DataFrame, condition: Column, columns: Sequence[str]) -> DataFrame:

