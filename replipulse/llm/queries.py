@@ -52,7 +52,7 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def op3_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.search(_table(spark, sf_dir, "embeddings"))
+    return topk.search(_table(spark, sf_dir, "embeddings")).drop("depth")
 
 
 @registered

@@ -27,19 +27,19 @@ FROM (
 
 _TOPK = """
 WITH usable AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
     FROM embeddings
-    WHERE embedding IS NOT NULL
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-    FROM usable AS q JOIN usable AS c ON q.vec_id <> c.vec_id
+    SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM usable AS q JOIN usable AS c ON q.row <> c.row
     WHERE q.vec_id % 20 = 0
 )
 SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score
 FROM scored
-WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+WINDOW best AS (PARTITION BY row ORDER BY score DESC, vec_id)
 QUALIFY rank <= 20
 """
 
