@@ -54,6 +54,24 @@ def test_awkward_rows(spark, block_bytes):
     assert not any(r[-1] for r in found(docs, items.limit(0)))
 
 
+def test_copies_of_items_are_one_text_and_one_pass_serves_any_benchmark(spark, monkeypatch):
+    """A third of the items are copies of one text: its windows are sent and stored once."""
+    text = " ".join(f"copy{i}" for i in range(40))
+    items = [(i, text if i % 3 == 0 else f"item {i} " + " ".join(f"w{i}x{j}" for j in range(14))) for i in range(300)]
+    docs = [(1, "so " + text + " on"), (2, items[1][1]), (3, "clean")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    sent, marked = [], []
+    set_of, mark = decontaminate._sent, decontaminate._marked
+    monkeypatch.setattr(decontaminate, "_sent", lambda w, b: (sent.append((w.count(), set_of(w, b))), sent[-1][1])[1])
+    monkeypatch.setattr(decontaminate, "_marked", lambda r, s: (marked.append(1), mark(r, s))[1])
+    for block_bytes in (decontaminate.BLOCK_BYTES, 400):
+        got = decontaminate.contamination(df, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes)
+        expected = sorted(((i, *plain(t, items)) for i, t in docs), key=repr)
+        assert rows(got.select("doc_id", "n_words", "n_hit", "items", "contaminated")) == expected
+    assert [n for n, _ in sent] == [31 + 200 * 7] * 2 and len(marked) == 2
+    assert len(sent[0][1].hashes) == 31 + 200 * 7 and len(sent[1][1].hashes) == 50
+
+
 def test_pieces_of_long_texts_and_collisions(monkeypatch):
     monkeypatch.setattr(decontaminate, "PIECE_WORDS", 16)
     monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 40)
