@@ -389,7 +389,9 @@ def links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame
     inside = found.filter("block < 0").select("a", "b")
     # Keys with more than one block: each block meets every other one of its key.
     blocks = found.filter("block >= 0").select(F.col("a").alias("fp"), F.col("b").alias("key"), "block")
-    last = blocks.groupBy("key").agg(F.max("block").alias("last"))
+    # Stored, here and below: Spark splits a hot key in a join whose sides are plain, and
+    # an aggregation by the same key right before it would keep it in one task.
+    last = written(blocks.groupBy("key").agg(F.max("block").alias("last")), "simhash-blocks")
     met = (
         blocks.join(last, "key")
         .select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
@@ -409,8 +411,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node reachable, of all nodes that have a link.
 
     Large and small stars in turn: every node's neighbours are moved to the smallest of
-    them, until nothing moves. Each round is written to the shared folder. Nodes with
-    very many neighbours are a skewed join, which Spark splits.
+    them, until nothing moves. Each round is written to the shared folder, and so are the
+    smallest neighbours, so that Spark splits the join at nodes with very many neighbours.
     """
     edges = written(edges.select("a", "b"), "simhash-round")
     state = None
@@ -423,12 +425,13 @@ def components(edges: DataFrame) -> DataFrame:
             edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(low, "simhash-low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.filter("u != v").distinct(), "simhash-large")
         down = large.select(
             F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
         )
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(down.groupBy("u").agg(F.min("v").alias("m")), "simhash-least")
         moved = down.join(least, "u")
         small = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             least.select(F.col("u").alias("a"), F.col("m").alias("b"))
@@ -443,8 +446,8 @@ def _grouped(rows: DataFrame, bits: int, block: int) -> DataFrame:
     roots = components(links(distinct, bits, block)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = written(rooted, "simhash-roots")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "root", "component_id")
+    smallest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-smallest")
+    return written(rooted.join(smallest, "root").select("fp", "root", "component_id"), "simhash-named")
 
 
 def near_duplicates(

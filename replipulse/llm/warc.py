@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replipulse.llm.common import pick
+from replipulse.llm.common import pick, written
 
 REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -77,8 +77,8 @@ def write_archive(
     keyed = rows.select("*", F.sha2("payload", 256).alias("key"), place.alias("place"))
     narrow = keyed.select("id", "url", "key", "place", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size"))
     # Combines before the shuffle: a payload that a third of all pages share is a row per task.
-    owners = keyed.groupBy("key").agg(F.max("place").alias("owner"))
-    # Records of a frequent payload are a skewed side that Spark splits.
+    owners = written(keyed.groupBy("key").agg(F.max("place").alias("owner")), "warc-owners")
+    # Stored: both sides of the join are plain, so Spark splits the records of a frequent payload.
     decided = narrow.join(owners, "key")
     revisit = (F.col("size") >= revisit_bytes) & (F.col("place") != F.col("owner"))
     records = decided.select(
