@@ -108,12 +108,12 @@ FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 
 _URLS = f"""
 WITH parts AS (
-    SELECT page_id, length(coalesce(html, '')) < 1000 AS thin,
+    SELECT page_id, url, length(coalesce(html, '')) < 1000 AS thin,
            coalesce({_lowered("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host,
            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
     FROM pages
 ),
-known AS (SELECT *, max(thin) OVER (PARTITION BY host) AS listed FROM parts),
+known AS (SELECT *, max(thin) OVER (PARTITION BY coalesce(url, '')) AS listed FROM parts),
 ruled AS (
     SELECT *, CASE
         WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'

@@ -15,7 +15,8 @@ PAGES = [
     (6, "no scheme", "x" * 2000), (7, "a://b://c/d", "tiny"), (8, "https://b/other?x", "x" * 2000),
     (9, "https://shop.com/fr/x", "tiny"), (10, "https://shop.com/de/x", "x" * 2000), (11, "https://shop.com/it", "x" * 2000),
     (12, "://", "x" * 2000), (None, "https://ÄB.net?x/y", "x" * 2000), (12, "://", "x" * 2000), (13, "https://x\ny/z", "x" * 2000),
-    (14, "https://u@h:80/p#/a?b", ""), (15, "https://com/de/", "x" * 1000),
+    (14, "https://u@h:80/p#/a?b", ""), (15, "https://com/de/", "x" * 1000), (16, "", "tiny"),
+    (17, "https://b/other?x", "tiny"), (18, "https://b/other", "x" * 2000), *[(19, "https://hot", "x" * 2000)] * 30,
 ]
 SCHEMA = "page_id bigint, url string, html string"
 
@@ -28,25 +29,24 @@ def parts(url):
 def plain(pages):
     listed = {}
     for _, url, html in pages:
-        host = parts(url)[0]
-        listed[host] = listed.get(host, False) or len(html or "") < 1000
+        listed[url or ""] = listed.get(url or "", False) or len(html or "") < 1000
     found = []
     for page, url, _ in pages:
         host, path = parts(url)
         fits = [r for r in urls.RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
         best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
-        verdict = best[0] if best else "block" if listed[host] else "allow"
-        found.append((page, host, path, best and best[1] + best[2], listed[host], verdict))
+        verdict = best[0] if best else "block" if listed[url or ""] else "allow"
+        found.append((page, host, path, best and best[1] + best[2], listed[url or ""], verdict))
     return sorted(found, key=repr)
 
 
-@pytest.mark.parametrize("level_bytes", [urls.LEVEL_BYTES, 6])
-def test_awkward_rows(spark, level_bytes):
+@pytest.mark.parametrize("bounds", [{}, {"shard_keys": 3}, {"level_bytes": 0}, {"level_bytes": 0, "shard_keys": 3, "task_pages": 4}])
+def test_awkward_rows(spark, bounds):
     df = spark.createDataFrame(PAGES, SCHEMA)
-    assert rows(urls.judge(df, level_bytes=level_bytes)) == plain(PAGES)
+    assert rows(urls.judge(df, **bounds)) == plain(PAGES)
     clash = df.select("*", *[F.lit("c").alias(n) for n in ("id", "host", "path", "URL", "first", "listed")])
-    assert rows(urls.judge(clash, level_bytes=level_bytes)) == plain(PAGES)
-    assert rows(urls.judge(df.limit(0), level_bytes=level_bytes)) == []
+    assert rows(urls.judge(clash, **bounds)) == plain(PAGES)
+    assert rows(urls.judge(df.limit(0), **bounds)) == []
 
 
 @pytest.mark.parametrize("share", [0.01, 0.9, 1.0])
@@ -56,18 +56,36 @@ def test_cascade_is_exact_over_its_universe(spark, share):
         F.xxhash64(F.lit(2), "id").alias("second"),
         (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1000)) < int(share * 1000)).alias("listed"),
     )
-    levels = urls.cascade(keys)
     table = keys.toPandas()
     first, second = (table[c].to_numpy().view(np.uint64) for c in ("first", "second"))
+    levels = urls.cascade(first, second, table["listed"].to_numpy())
     assert (urls.listed_by(levels, first, second) == table["listed"]).all()
     assert share == 1.0 or len(levels) > 1
     assert all(len(b.map) <= len(a.map) for a, b in zip(levels, levels[2:]))
 
 
-def test_nothing_listed(spark):
-    keys = spark.range(5).select(F.col("id").alias("first"), F.col("id").alias("second"), F.lit(False).alias("listed"))
-    assert urls.cascade(keys) == []
-    assert not urls.listed_by([], np.zeros(3, np.uint64), np.zeros(3, np.uint64)).any()
+def test_nothing_listed():
+    keys = np.arange(5, dtype=np.uint64)
+    assert urls.cascade(keys, keys, np.zeros(5, bool)) == []
+    assert not urls.listed_by([], keys, keys).any()
+
+
+def test_a_verdict_does_not_change_with_other_pages(spark):
+    some = [p for p in PAGES if p[0] in (3, 8, 11, 15)]
+    df = spark.createDataFrame(some, SCHEMA)
+    alone = {r.page_id: r.verdict for r in urls.judge(df).collect()}
+    more = [(1000 + i, f"https://{h}/thin{i}", "tiny") for i, h in enumerate(["example.org", "b", "shop.com", "com"] * 5)]
+    grown = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(some + more, SCHEMA)).collect()}
+    assert {p: grown[p] for p in alone} == alone
+
+
+def test_one_scan_serves_any_number_of_shards(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    spark.createDataFrame(PAGES, SCHEMA).write.parquet(path)
+    for bounds in ({"shard_keys": 3}, {"shard_keys": 3, "level_bytes": 0}):
+        plan = urls.judge(spark.read.parquet(path), **bounds)._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan" in line and "page_id#" in line]
+        assert len(scans) == 1
 
 
 def test_query_on_the_test_tables(spark, sf_dir):
