@@ -48,21 +48,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Groups go by text alone: rows that share an id but not their text are judged apart, and a
     group without any id keeps a row as well. Ties go to the smallest hash of the whole row;
-    rows alike in all columns are one.
+    rows alike in all columns are one. Null and empty texts are a group, like any copies; an
+    empty table gives none. A row is named by its place in the files of ``docs``, so no text
+    is compared or sorted to find it again.
     """
     rows, place = _numbered(docs)
     told = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
     # Hashes pass over nulls, so where they stand is hashed too.
-    whole = [*told, *[F.isnull(c) for c in rows.columns]]
-    marks = [F.xxhash64(F.lit(salt), *whole).alias(salt) for salt in ("first", "second")]
-    marked = rows.select("*", *marks)
-    stays = simhash.survivors(marked, place["doc_id"], place["text"], ("first", "second"))
-    kept = marked.join(stays, ["first", "second"], "left_semi").dropDuplicates(["first", "second"])
+    whole = F.xxhash64(*told, *[F.isnull(c) for c in rows.columns]).alias("whole")
+    marked = rows.select("*", whole, F.monotonically_increasing_id().alias("row"))
+    stays = simhash.survivors(marked, place["doc_id"], place["text"], ("whole", "row"))
+    kept = marked.join(stays, "row", "left_semi")
     return kept.select(*rows.columns).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item; the others go as a whole."""
+    """Documents without any window of a benchmark item; the others go as a whole.
+
+    Null and empty texts, and texts without a word, have no window and stay; repeated rows are
+    judged each, and alike. An empty benchmark, or one of empty items, takes nothing, and an
+    empty table gives none.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _kept(docs, partial(decontaminate.contamination, benchmark=benchmark), "not contaminated")
 
@@ -83,7 +89,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as full training sequences: a row per piece, with its tokens."""
+    """The documents as full training sequences: a row per piece, with its tokens.
+
+    A null or empty text is its end token alone; repeated rows are packed each. Rows without a
+    source share a queue. An empty table gives no piece.
+    """
     return packing.pack(docs)
 
 
