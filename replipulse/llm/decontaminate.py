@@ -281,8 +281,8 @@ def contamination(
         "id", *kept, "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"),
         F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
     )
-    hit = marked.filter(F.size("hits") > 0)
-    # Stored: both sides of the join are plain then, so a frequent window is split.
+    # Stored, as three steps read these few; and with plain sides a frequent window is split in the join.
+    hit = written(marked.filter(F.size("hits") > 0), "decontaminate-documents")
     found = written(hit.select("row", F.explode("hits").alias("hit")).select("row", "hit.*"), "decontaminate-hits")
     sure = written(found.join(windows, ["hash", "size", "words"]).select("row", "place", "size", "cls"), "decontaminate-verified")
     # As many as a document has windows, and as the benchmark has items.
