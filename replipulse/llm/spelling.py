@@ -31,9 +31,10 @@ EVERY = 31
 #: Letters of words once A-Z are lower case.
 LETTERS = np.array([*range(0x61, 0x7B), *range(0xC0, 0x100)], np.uint8)
 #: Bits a word has in its filter, bits set, and bytes of filters that are sent at once.
-WORD_BITS, PROBES, PASS_BYTES = 20, 5, 32 << 20
-#: Distinct words a task counts before it hands them on, and letters it edits at once.
-HELD_WORDS, EDITED = 1 << 18, 1 << 15
+WORD_BITS, PROBES, PASS_BYTES = 20, 5, 16 << 20
+#: Distinct words a task counts before it hands them on, letters it edits at once, and words
+#: it edits in all: a word is few bytes but hundreds of edits.
+HELD_WORDS, EDITED, TASK_WORDS = 1 << 18, 1 << 15, 1 << 15
 
 _LOWER = bytes(range(256)).lower()
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -282,9 +283,10 @@ def near_pairs(words: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """
     counts = {r["size"]: r["count"] for r in words.groupBy(F.length("word").alias("size")).count().collect()}
     found = words.select("word", "n", F.col("word").alias("other")).limit(0)
+    dealt = words.repartition(max(1, -(-sum(counts.values()) // TASK_WORDS)), "word")
     passes = plan_passes(counts, pass_bytes)
     for shards in passes:
-        part = candidates(words, build_filters(words, shards))
+        part = candidates(dealt, build_filters(words, shards))
         found = found.unionByName(written(part, "spelling-candidates") if len(passes) > 1 else part)
     known = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
     pairs = written(found.join(known, "other").select("word", "n", "other", "other_n"), "spelling-pairs")
