@@ -105,6 +105,12 @@ def test_plans_stay_distributed(spark, sf_dir, name, stored):
             assert operator not in plan, operator
 
 
+@pytest.mark.parametrize("name", ["report_sections", "saved_report", "html_tables"])
+def test_the_report_is_sorted_once(spark, sf_dir, name, stored):
+    final = QUERIES[name](spark, sf_dir)
+    assert sum(plan_of(df).count("rangepartitioning(") for df in (*stored, final)) == 1
+
+
 @pytest.fixture
 def small_partitions(spark):
     settings = {
