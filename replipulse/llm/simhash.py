@@ -7,11 +7,13 @@ of the five codewords four bits off. Any two words that differ in two bits or fe
 share a key then.
 
 Two fingerprints that differ in four bits or fewer either agree on a whole segment, and
-of the two others one differs in two bits or fewer; or no segment agrees, and then the
-first two both differ in two bits or fewer. So the keys are, per fingerprint,
+of the two others one differs in two bits or fewer; or no segment agrees, and then each
+differs in two bits or fewer, so that one third of the last segment agrees. So the keys are,
+per fingerprint,
 
 * a whole segment with a key of another one (six combinations), 33 or 34 bits,
-* a key of the first with a key of the second segment, 24 bits.
+* a key of the first with a key of the second segment and a third of the last one (three
+  thirds), 31 bits.
 
 Fingerprints that share a key are compared. Of a key's links, a spanning forest is
 enough for the groups, so a dense key gives as many links as it has rows, never all
@@ -236,9 +238,12 @@ def segment_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys.append(key[counts[j]])
         owners.append(np.broadcast_to(rows[:, None], key.shape)[counts[j]])
     both = counts[0][:, :, None] & counts[1][:, None, :]
-    key = (6 << 34) | (index[0][:, :, None] << 12) | index[1][:, None, :]
-    keys.append(key[both])
-    owners.append(np.broadcast_to(rows[:, None, None], key.shape)[both])
+    pair = (index[0][:, :, None] << 12) | index[1][:, None, :]
+    owner = np.broadcast_to(rows[:, None, None], pair.shape)[both]
+    for third in range(3):
+        part = (exact[2] >> (7 * third)) & 0x7F
+        keys.append((((6 + third) << 34) | (part[:, None, None] << 24) | pair)[both])
+        owners.append(owner)
     return np.concatenate(keys), np.concatenate(owners)
 
 
