@@ -98,3 +98,14 @@ def test_one_row_of_each_group_whatever_the_ids(spark, sf_dir):
         assert sorted(((r.doc_id, names[r.text]) for r in found.collect()), key=repr) == expected
         kept.add(tuple(rows(found)))
     assert len(kept) == 1
+
+
+@pytest.mark.parametrize("given", ["null", "35", "if(n % 3 = 0, null, n)"])
+def test_documents_stay_whatever_their_ids(spark, sf_dir, given):
+    """Null or repeated ids neither empty the language model nor take documents away."""
+    words = "CASE n % 3 WHEN 0 THEN 'the house of wood' WHEN 1 THEN 'das haus aus holz' ELSE 'la maison en bois' END"
+    docs = spark.range(3000).selectExpr("id AS n").selectExpr(
+        f"bigint({given}) AS doc_id", f"concat({words}, ' ', n) AS text",
+        "CASE n % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'fr' END AS lang", "'s' AS source", "bigint(1) AS n_chars",
+    )
+    assert corpus_pipeline.language_id(spark, docs, sf_dir).count() > 2900
