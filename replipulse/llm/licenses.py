@@ -1,11 +1,11 @@
 """Licence scan of paragraphs with built-in functions only.
 
-A paragraph is a line. Its features are the words and pairs of words it has, hashed into
-``BUCKETS``. A multinomial logistic regression gives the odds of each licence family and
+A paragraph is a line. Its features are the words and pairs of words it has, as 64-bit
+hashes, of which those of the templates count. A multinomial logistic regression gives the odds of each licence family and
 of no licence; it is trained in the driver on the templates below, shortened and varied as
 wrapped and edited notices are, and on a bounded sample of the documents' own lines as
 examples of no licence. Scoring is an expression: each feature's weights are looked up in
-constant arrays, and only features with a weight count.
+constant arrays by its hash, which is compared as a whole.
 
 For calibration, templates with all their variants, and lines, are dealt to parts, and each
 part is judged by a fit of the others; this sets a temperature and the score below which a
@@ -169,9 +169,10 @@ NAMES = {
     "unlicense": ("the unlicense", "identifier unlicense", "unencumbered software"),
 }
 NONE, UNKNOWN = "none", "unknown"
+#: Places of the table that hashes are looked up in; of features that share one the first stays.
 BUCKETS = 1 << 16
 #: Lines sampled as examples of no licence, and features of each that are used, in the order
-#: of their buckets, which are hashes: words and pairs from all over a line.
+#: of their hashes: words and pairs from all over a line.
 SAMPLE_LINES, SAMPLE_FEATURES = 2000, 256
 EPOCHS, RATE, DECAY, SEED = 16, 1.0, 1e-4, 11
 #: Words of a template's variants, which stand for wrapped lines; parts the templates are dealt
@@ -202,13 +203,11 @@ def _pairs(terms: Column) -> Column:
 
 
 def features(terms: Column) -> Column:
-    """Buckets of the words and word pairs of a paragraph; a pair's hash is made of its words' hashes."""
-
-    def buckets(hashes: Column) -> Column:
-        pairs = _neighbours(hashes, lambda a, b: F.xxhash64(a, b))
-        return F.transform(F.concat(hashes, pairs), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
-
-    return bound(F.transform(terms, lambda t: F.xxhash64(t)), buckets)
+    """Hashes of the words and word pairs of a paragraph; a pair's is made of its words' hashes."""
+    return bound(
+        F.transform(terms, lambda t: F.xxhash64(t)),
+        lambda hashes: F.concat(hashes, _neighbours(hashes, lambda a, b: F.xxhash64(a, b))),
+    )
 
 
 # --- training ----------------------------------------------------------------
@@ -217,7 +216,8 @@ def features(terms: Column) -> Column:
 @dataclass
 class Model:
     families: list[str]  # the last is NONE
-    weights: np.ndarray  # buckets x families
+    hashes: np.ndarray  # of the features that count, no two in one place
+    weights: np.ndarray  # features x families
     bias: np.ndarray
     temperature: float
     threshold: float
@@ -239,10 +239,10 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return powers / powers.sum(axis=1, keepdims=True)
 
 
-def _descend(families: int, rows: list[np.ndarray], target: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _descend(size: int, families: int, rows: list[np.ndarray], target: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stochastic gradient descent on sparse rows; lines without a licence weigh half as much as notices in all."""
     rng = np.random.default_rng(SEED)
-    weights, bias = np.zeros((BUCKETS, families)), np.zeros(families)
+    weights, bias = np.zeros((size, families)), np.zeros(families)
     order = use.copy()
     none = target[use] == families - 1
     less = min(1.0, (~none).sum() / max(none.sum(), 1) / 2)
@@ -263,18 +263,26 @@ def fit(families: list[str], found: list[list[int]], target: np.ndarray, part: n
     Only features that some template has get a weight, so most of a text has none.
     """
 
+    last = len(families) - 1
+    places: dict[int, int] = {}
+    for h in sorted({h for f, t in zip(found, target) if t < last for h in f}):
+        places.setdefault(h % BUCKETS, h)
+    hashes = np.array(sorted(places.values()), np.int64)
+    number = {h: i for i, h in enumerate(hashes.tolist())}
+    numbered = [np.unique([number[h] for h in f if h in number]).astype(np.int64) for f in found]
+
     def known(use: np.ndarray) -> list[np.ndarray]:
-        has = np.zeros(BUCKETS, bool)
+        has = np.zeros(len(hashes), bool)
         for r in use:
-            if target[r] < len(families) - 1:
-                has[found[r]] = True
-        return [np.unique([b for b in f if has[b]]).astype(np.int64) for f in found]
+            if target[r] < last:
+                has[numbered[r]] = True
+        return [f[has[f]] for f in numbered]
 
     logits = np.zeros((len(found), len(families)))
     for out in range(PARTS):
         use = np.flatnonzero(part != out)
         rows = known(use)
-        weights, bias = _descend(len(families), rows, target, use)
+        weights, bias = _descend(len(hashes), len(families), rows, target, use)
         for r in np.flatnonzero(part == out):
             logits[r] = weights[rows[r]].sum(axis=0) + bias
     every = np.arange(len(found))
@@ -290,8 +298,8 @@ def fit(families: list[str], found: list[list[int]], target: np.ndarray, part: n
     share = np.cumsum(right) / np.arange(1, len(order) + 1)
     enough = np.flatnonzero(share >= PRECISION)
     lowest = float(odds[order[enough[-1]], :-1].max()) if len(enough) else 0.9
-    weights, bias = _descend(len(families), known(every), target, every)
-    return Model(families, weights, bias, float(best), float(np.clip(lowest, 0.2, 0.9)))
+    weights, bias = _descend(len(hashes), len(families), numbered, target, every)
+    return Model(families, hashes, weights, bias, float(best), float(np.clip(lowest, 0.2, 0.9)))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -371,9 +379,9 @@ def _named(terms: Column, names: Sequence[str]) -> Column:
 # --- scoring -----------------------------------------------------------------
 
 
-def _constant(values: np.ndarray) -> Column:
+def _constant(values: np.ndarray, kind: str = "int") -> Column:
     """An array that the optimizer folds to one literal."""
-    return F.from_json(F.lit(json.dumps(values.tolist())), "array<int>")
+    return F.from_json(F.lit(json.dumps(values.tolist())), f"array<{kind}>")
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,16 +396,19 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     scaled = np.rint(model.weights / model.temperature * WEIGHT_SCALE).astype(np.int64)
     bias = np.rint(model.bias / model.temperature * WEIGHT_SCALE).astype(np.int64)
-    weighty = np.flatnonzero(np.abs(scaled).max(axis=1) > 0)
-    number = np.zeros(BUCKETS, np.int64)
-    number[weighty] = np.arange(1, len(weighty) + 1)
+    number, held = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    place = model.hashes % BUCKETS
+    number[place], held[place] = np.arange(1, len(place) + 1), model.hashes
     kinds = len(model.families)
-    table = np.concatenate([np.zeros((1, kinds), np.int64), scaled[weighty]])
+    table = np.concatenate([np.zeros((1, kinds), np.int64), scaled])
     names = F.array(*[F.lit(f) for f in model.families])
 
+    def looked_up(h: Column) -> Column:
+        at = F.pmod(h, F.lit(BUCKETS)).cast("int")
+        return F.when(F.get(_constant(held, "bigint"), at) == h, F.get(_constant(number), at)).otherwise(0)
+
     def known(terms: Column) -> Column:
-        numbers = F.transform(features(terms), lambda b: F.get(_constant(number), b))
-        return F.array_distinct(F.filter(numbers, lambda n: n > 0))
+        return F.array_distinct(F.filter(F.transform(features(terms), looked_up), lambda n: n > 0))
 
     def logits(found: Column) -> Column:
         sums = [

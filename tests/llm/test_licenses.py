@@ -87,11 +87,11 @@ def plain_features(line):
     lowered = re.sub("[A-Z]", lambda m: m.group().lower(), line)
     hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[^a-z0-9\x80-\U0010ffff]+", lowered) if w]
     pairs = [xxhash.xxh64_intdigest(struct.pack("<Q", b), xxhash.xxh64_intdigest(struct.pack("<Q", a), 42)) for a, b in zip(hashes, hashes[1:])]
-    return [signed(h) % licenses.BUCKETS for h in hashes + pairs]
+    return [signed(h) for h in hashes + pairs]
 
 
 def plain_odds(model, line):
-    known = np.unique(plain_features(line)).astype(int)
+    known = np.flatnonzero(np.isin(model.hashes, plain_features(line)))
     logits = (model.weights[known].sum(axis=0) + model.bias) / model.temperature
     odds = np.exp(logits - logits.max())
     return odds / odds.sum()
