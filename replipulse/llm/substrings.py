@@ -32,8 +32,8 @@ from replipulse.llm.common import as_bytes, pick, written
 
 LENGTH = 200
 #: Bytes of a gram, bytes of text that are looked at at once, stretches a key may have in a
-#: shard, and bytes of a shard.
-GRAM, CHUNK, CLASS, SHARD = 16, 1 << 18, 2048, 1 << 20
+#: shard, bytes of a shard, and stretches' bytes that are handed on at once.
+GRAM, CHUNK, CLASS, SHARD, HELD_PIECES = 16, 1 << 18, 2048, 1 << 20, 1 << 13
 
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -279,19 +279,27 @@ def _pieces(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         F.collect_list(F.struct("first", "last", "key", "alone", "large")).alias("stretches")
     )
 
+    names = ["key", "row", "first", "alone", "large", "piece"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*found) if found else [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                found = []
-                for row, text, some in zip(part.column("row").to_pylist(), _unpack(part), part.column("stretches").to_pylist()):
-                    for s in some:
-                        piece = text[s["first"] : s["last"] + length]
-                        found.append((s["key"], row, s["first"], s["alone"], s["large"], piece))
-                names = ["key", "row", "first", "alone", "large", "piece"]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-                columns = zip(*found) if found else [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                row, (text,) = part.column("row")[0].as_py(), _unpack(part)
+                for s in part.column("stretches")[0].as_py():
+                    piece = text[s["first"] : s["last"] + length]
+                    found.append((s["key"], row, s["first"], s["alone"], s["large"], piece))
+                    if len(found) == HELD_PIECES:
+                        yield out()
+                        found.clear()
+        yield out()
 
     joined = _packed(rows.select("row", "text")).join(listed, "row").select("row", "size", "packed", "stretches")
     return joined.mapInArrow(run, "key long, row long, first long, alone boolean, large boolean, piece binary")
