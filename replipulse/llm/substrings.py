@@ -326,7 +326,9 @@ def _of_large_keys(pieces: DataFrame, length: int) -> DataFrame:
                     ["one", "two", "row", "start", "alone"],
                 )
 
-    single = pieces.select("row", "first", "alone", "piece").mapInArrow(run, "one long, two long, row long, start long, alone boolean")
+    # Dealt by text: stretches of one key are much alike, so a small file of them has very many.
+    dealt = pieces.select("row", "first", "alone", "piece").repartition("row")
+    single = dealt.mapInArrow(run, "one long, two long, row long, start long, alone boolean")
     single = written(single, "substrings-starts")
     # Stored, so that both sides of the join are plain and a frequent string is split.
     often = written(single.groupBy("one", "two").count().filter("count > 1").select("one", "two"), "substrings-often")
