@@ -133,7 +133,7 @@ FROM ruled
 _SUFFIXES = """
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 starts AS (
-    SELECT r, p, substr(h, 2 * p + 1, 400) AS s
+    SELECT r, p, md5_number(substr(h, 2 * p + 1, 400)) AS s
     FROM (SELECT r, h, unnest(range(length(h) // 2 - 199)) AS p FROM docs WHERE length(h) >= 400)
 ),
 again AS (SELECT r, p FROM starts WHERE s IN (SELECT s FROM starts GROUP BY s HAVING count(*) > 1)),
