@@ -34,6 +34,8 @@ LENGTH = 200
 #: Bytes of a gram, bytes of text that are looked at at once, stretches a key may have in a
 #: shard, bytes of a shard, and stretches' bytes that are handed on at once.
 GRAM, CHUNK, CLASS, SHARD, HELD_PIECES = 16, 1 << 18, 2048, 1 << 20, 1 << 13
+#: Tasks that starts with one and the same string are dealt to, of keys with very many stretches.
+SALTS = 16
 
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -330,7 +332,11 @@ def _of_large_keys(pieces: DataFrame, length: int) -> DataFrame:
     single = written(single, "substrings-starts")
     # Stored, so that both sides of the join are plain and a frequent string is split.
     often = written(single.groupBy("one", "two").count().filter("count > 1").select("one", "two"), "substrings-often")
-    found = single.filter("alone").join(often, ["one", "two"])
+    # A string that very many stretches have is dealt to several tasks, whichever join Spark takes.
+    salts = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int").alias("salt")
+    asked = single.filter("alone").select("one", "two", salt, "row", "start")
+    found = asked.join(salts, ["one", "two", "salt"])
     return found.select("row", "start", (F.col("start") + length).alias("end"))
 
 
