@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from replipulse.sources.store import kept
 
+#: Hashes of repeated keys that are broadcast at most; of more, all rows are looked up.
+BROADCAST_HASHES = 2_000_000
+
 
 def explode_records(
     pages: DataFrame,
@@ -95,13 +98,29 @@ def mark_first(
     """Flag the first row of every key combination; NULL keys compare equal.
 
     ``order`` names whole numbers, not negative; rows that tie in all of them are first
-    together. A window would sort all rows of one key in one task. Here one hash aggregation,
-    which combines before the shuffle, tells how often a key occurs and the smallest number
-    that its first two order columns make; it is stored, so that Spark knows its size and
-    may split a hot key in the joins. Of further order columns only those of rows that tie in
-    the first two are compared, two at a time. ``df`` is read up to three times, and but for
-    the last time only its keys and order columns, so it should be stored.
+    together. A window would sort all rows of one key in one task. Here hashes of the keys are
+    counted first. Those that occur again are broadcast, if they are not very many, and rows of
+    all other keys are first without a further look, where they are. Of the rows that are left,
+    one hash aggregation, which combines before the shuffle, tells how often a key occurs and
+    the smallest number that its first two order columns make; it is stored, so that Spark knows
+    its size and may split a hot key in the joins. Of further order columns only those of rows
+    that tie in the first two are compared, two at a time. ``df`` is read up to six times, and
+    but for the last two only its keys and order columns, so it should be stored.
     """
+    hashed = F.xxhash64(*keys)
+    short = F.pmod(hashed, F.lit(2**31)).cast("int")
+    again = df.groupBy(hashed.alias("_hash")).count().filter(F.col("count") > 1)
+    again = kept(again.select(F.pmod("_hash", F.lit(2**31)).cast("int").alias("_again")).distinct(), "repeats")
+    if again.count() > BROADCAST_HASHES:
+        return _looked_up(df, keys, order, flag)
+    listed = F.broadcast(again)
+    once = df.join(listed, short == F.col("_again"), "left_anti").withColumn(flag, F.lit(True))
+    rest = df.join(listed, short == F.col("_again"), "left_semi")
+    return once.unionByName(_looked_up(rest, keys, order, flag))
+
+
+def _looked_up(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:
+    """``mark_first`` by a lookup of every row."""
     pair = order[:2]
     placed = df.select(*keys, *order).withColumn("_place", packed(pair, [19] * len(pair)))
     least = placed.groupBy(*_renamed(keys, "_key_")).agg(
