@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from replipulse.model import LANDED
 from replipulse.operators import detail, nested, status
+from replipulse.plans import report
 from replipulse.plans.catalog import QUERIES
+from replipulse.sources import store
 from replipulse.sources.landed import read_landed
 
 
@@ -183,3 +185,24 @@ def test_first_rows_of_null_and_tied_keys(spark):
     assert first == sorted([(None, "x", 2, 4), ("", "x", 5, 0), ("1:", "", 1, 1), ("a", None, 1, 1),
                             ("a", None, 1, 1), ("-", "-", 1, 1)], key=repr)
     assert got.count() == len(rows)
+
+
+def test_rows_of_keys_that_occur_once_are_not_moved_for_the_lookup(spark, small_partitions, monkeypatch):
+    rows = spark.range(4000).selectExpr("string(if(id % 500 = 3, 0, id)) AS k", "id AS a", "id AS b", "id AS c", "sha2(string(id), 256) AS x")
+    marked = nested.mark_first(rows, ["k"], ["a", "b", "c"])
+    plan = plan_of(marked)
+    assert re.search(r"BroadcastHashJoin.*LeftAnti", plan) and re.search(r"BroadcastHashJoin.*LeftSemi", plan)
+    got = sorted(tuple(r) for r in marked.collect())
+    assert [r[1] for r in got if not r[-1]] == [3 + 500 * i for i in range(8)]
+    monkeypatch.setattr(nested, "BROADCAST_HASHES", 0)
+    looked_up = nested.mark_first(rows, ["k"], ["a", "b", "c"])
+    assert "LeftAnti" not in plan_of(looked_up)
+    assert sorted(tuple(r) for r in looked_up.collect()) == got
+
+
+def test_large_sorts_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(store, "TASK_ROWS", 100)
+    df = spark.range(1000).repartition(3)
+    dealt = store.in_ranges(df, [F.asc("id")], 1000).sortWithinPartitions("id")
+    assert dealt.rdd.getNumPartitions() == 11
+    assert [r.id for r in dealt.collect()] == list(range(1000))
