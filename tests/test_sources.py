@@ -227,3 +227,29 @@ def test_numbers_follow_the_order(spark):
     df = spark.range(1000).repartition(7).orderBy(F.desc("id"))
     got = report.numbered(df).collect()
     assert sorted((r.position, r.id) for r in got) == [(i + 1, 999 - i) for i in range(1000)]
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_folded_reports_have_a_row_per_pod_and_the_same_rows_in_order(spark, monkeypatch, times):
+    """Also with arrays that are listed twice, whose rows tie while they are folded."""
+
+    def listed(make):
+        def made(summary, statuses, *tables, **settings):
+            twice = statuses if times == 1 else statuses.unionByName(statuses.withColumn("array", F.concat("array", F.lit("'"))))
+            return make(summary, twice, *tables, **settings)
+
+        return made
+
+    whole, fold = report.report_sections, report.folded_sections
+    monkeypatch.setattr(report, "report_sections", listed(whole))
+    monkeypatch.setattr(report, "folded_sections", fold)
+    _, sections = small_report(spark)
+    expected = sections.orderBy(*report.row_order()).collect()
+    expected_html = [tuple(r) for r in report.html_lines(*small_report(spark)).collect()]
+    monkeypatch.setattr(report, "report_sections", listed(fold))
+    summary, folded = small_report(spark)
+    assert folded.filter("kind_rank = 3").count() == times
+    assert sections.filter("kind_rank = 3").count() == 2 * times
+    monkeypatch.setattr(store, "TASK_ROWS", 3)
+    assert report.in_order(folded, folded.count()).collect() == expected
+    assert [tuple(r) for r in report.html_lines(summary, folded).collect()] == expected_html
