@@ -200,6 +200,12 @@ def test_rows_of_keys_that_occur_once_are_not_moved_for_the_lookup(spark, small_
     assert sorted(tuple(r) for r in looked_up.collect()) == got
 
 
+def test_numbering_moves_no_rows(spark):
+    numbered = report.numbered(spark.range(1000).repartition(7).orderBy(F.desc("id")))
+    assert "hashpartitioning" not in plan_of(numbered)
+    assert {r.position + r.id for r in numbered.collect()} == {1000}
+
+
 def test_large_sorts_are_dealt_to_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(store, "TASK_ROWS", 100)
     df = spark.range(1000).repartition(3)
