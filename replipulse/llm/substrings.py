@@ -15,8 +15,10 @@ places are sorted and named, the names' own suffixes are put in order by recursi
 repeat, the remaining suffixes are sorted by their first letter and the rank of what follows,
 and both are merged. Starts whose neighbour in this order has the same ``length`` bytes repeat.
 
-A key with more stretches than a shard takes is not cut short: its starts go by themselves,
-counted by two hashes of their bytes, so no group is in one task.
+A key with more stretches than a shard takes is not cut short: its stretches are cut into short
+ones by the distance from the anchor, whose keys are all but a few bytes of their strings. They
+are dealt like the others; should one of these keys have too many stretches again, its starts
+go by themselves, counted by two hashes of their bytes, so no group is in one task.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ LENGTH = 200
 #: Bytes of a gram, bytes of text that are looked at at once, stretches a key may have in a
 #: shard, bytes of a shard, and stretches' bytes that are handed on at once.
 GRAM, CHUNK, CLASS, SHARD, HELD_PIECES = 16, 1 << 18, 2048, 1 << 20, 1 << 13
+#: Short stretches of a window.
+PARTS = 8
 
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -67,8 +71,16 @@ def stretches(raw: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray,
 
     ``starts`` are places of ``raw``, in order, that have ``length`` bytes.
     """
-    window = window_of(length)
     words = _words(raw)
+    anchor = _anchors(words, starts, length)
+    fresh = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (np.diff(starts) != 1))))
+    first, last = starts[fresh], starts[np.concatenate((fresh[1:] - 1, [len(starts) - 1]))]
+    rest = np.full(len(fresh), length - window_of(length) + 1)
+    return first, last, _hashed(words, anchor[fresh], rest, 1), _hashed(words, first, last - first + length, 2)
+
+
+def _anchors(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    window = window_of(length)
     h = words[: len(words) - 8] * _M[0]
     h ^= h >> np.uint64(32)
     h += words[8:] * _M[1]
@@ -81,11 +93,7 @@ def stretches(raw: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray,
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     low = np.minimum(low[starts], low[starts + (window - size)])
-    anchor = (low & np.uint64((1 << 20) - 1)).astype(np.int64)
-    fresh = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (np.diff(starts) != 1))))
-    first, last = starts[fresh], starts[np.concatenate((fresh[1:] - 1, [len(starts) - 1]))]
-    rest = np.full(len(fresh), length - window + 1)
-    return first, last, _hashed(words, anchor[fresh], rest, 1), _hashed(words, first, last - first + length, 2)
+    return (low & np.uint64((1 << 20) - 1)).astype(np.int64)
 
 
 def _portions(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -305,8 +313,66 @@ def _pieces(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "key long, row long, first long, alone boolean, large boolean, piece binary")
 
 
-def _of_large_keys(pieces: DataFrame, length: int) -> DataFrame:
-    """Intervals of keys with very many stretches: each start by itself, by two hashes."""
+def refined(piece: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """A stretch as short stretches: first and last start, ``key`` and ``whole`` of each.
+
+    Starts of equal strings are as far from their anchor, so stretches are cut by that distance
+    and no string lies in two. All strings of a short stretch hold the bytes of its key, which
+    are all but a few of theirs.
+    """
+    words = _words(piece)
+    step = max(1, window_of(length) // PARTS)
+    anchor = _anchors(words, np.zeros(1, np.int64), length)[0]
+    part = (anchor - np.arange(len(piece) - length + 1)) // step
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    first, last = np.append(0, cuts), np.append(cuts - 1, len(part) - 1)
+    part = part[first]
+    key = _hashed(words, anchor - part * step, np.full(len(part), length - step + 1), 5)
+    key = (key.view(np.uint64) ^ part.astype(np.uint64) * _M[3]).view(np.int64)
+    return first, last, key, _hashed(words, first, last - first + length, 6)
+
+
+def _of_large_keys(pieces: DataFrame, length: int, largest: int, shard: int) -> DataFrame:
+    """Intervals of keys with very many stretches: of short stretches with keys of their own."""
+    names = ["key", "whole", "row", "first", "alone", "piece"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                found: list[tuple] = []
+                for row, start, alone, piece in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns)):
+                    for first, last, key, whole in zip(*(a.tolist() for a in refined(piece, length))):
+                        found.append((key, whole, row, start + first, alone, piece[first : last + length]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
+
+    short = pieces.select("row", "first", "alone", "piece").mapInArrow(
+        run, "key long, whole long, row long, first long, alone boolean, piece binary"
+    )
+    short = written(short, "substrings-short")
+    keys = short.groupBy("key").agg(F.count("*").alias("times"), F.min("whole").alias("a"), F.max("whole").alias("b"))
+    again = keys.filter("times > 1").select("key", (F.col("a") != F.col("b")).alias("mixed"))
+    hits = written(short.join(written(again, "substrings-short-keys"), "key"), "substrings-short-hits")
+    covers = [F.col("row"), F.col("first").alias("start"), (F.col("first") + F.octet_length("piece")).alias("end")]
+    same = hits.filter("not mixed and alone").select(*covers)
+    mixed = hits.filter("mixed")
+    kinds_of = mixed.groupBy("key", "whole").agg(
+        F.count("*").alias("times"), F.first("row").alias("row"), F.first("first").alias("first"),
+        F.bool_or("alone").alias("alone"), F.first("piece").alias("piece"),
+    )
+    kinds_of = written(kinds_of.withColumn("alone", F.col("alone") & (F.col("times") == 1)), "substrings-short-kinds")
+    equal = kinds_of.filter("times > 1").select("key", "whole")
+    copies = mixed.filter("alone").join(equal, ["key", "whole"]).select(*covers)
+    many = kinds_of.groupBy("key").count().filter(F.col("count") > largest).select("key", F.lit(True).alias("large"))
+    found = kinds_of.join(written(many, "substrings-short-large"), "key", "left")
+    dealt = found.filter("large is null").select("key", "row", "first", "alone", "piece")
+    sharded = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(length, shard), _INTERVAL)
+    rest = _by_start(found.filter("large").select("row", "first", "alone", "piece"), length)
+    return same.unionByName(copies).unionByName(sharded).unionByName(rest)
+
+
+def _by_start(pieces: DataFrame, length: int) -> DataFrame:
+    """Intervals of short keys with very many stretches even so: each start by itself, by two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,7 +422,7 @@ def _intervals_of(rows: DataFrame, length: int, largest: int, shard: int) -> Dat
     pieces = written(_pieces(rows, wanted, length), "substrings-pieces")
     dealt = pieces.filter("not large").select("key", "row", "first", "alone", "piece")
     sharded = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(length, shard), _INTERVAL)
-    single = _of_large_keys(pieces.filter("large"), length)
+    single = _of_large_keys(pieces.filter("large"), length, largest, shard)
     return same.unionByName(copies).unionByName(sharded).unionByName(single)
 
 

@@ -116,3 +116,39 @@ def test_query_on_the_test_tables(spark, sf_dir):
     found = queries.op11_suffix_dedup(spark, sf_dir)
     assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert rows(found) == plain(docs, 200)
+
+
+def test_stretches_of_large_keys_are_cut_into_few_rows(spark, monkeypatch):
+    """Near copies: a key that all share goes by short stretches, not by its starts."""
+    rng = np.random.default_rng(5)
+    shared = "".join(rng.choice(list("abcdefgh "), 700))
+    docs = []
+    for i in range(60):
+        at = rng.integers(0, 700)
+        docs.append((i, shared[:at] + str(i) + shared[at + 2 :]))
+    tables = {}
+    keep = substrings.written
+    monkeypatch.setattr(substrings, "written", lambda df, name: tables.setdefault(name, keep(df, name)))
+    df = spark.createDataFrame(docs, SCHEMA).repartition(4)
+    assert got(substrings.without_repeats(df, largest=8)) == plain(docs, 200)
+    starts = sum(r["n"] for r in tables["substrings-pieces"].filter("large").selectExpr("length(piece) - 199 AS n").collect())
+    assert 0 < 4 * tables["substrings-short"].count() < starts
+
+
+def test_short_stretches_hold_every_start_once_and_keys_follow_the_strings():
+    rng = np.random.default_rng(6)
+    shared = bytes(rng.integers(97, 101, 600, dtype=np.uint8))
+
+    def keys(raw, shift):
+        first, last, _, _ = substrings.stretches(raw, np.arange(len(raw) - 199), 200)
+        found = {}
+        for a, b in zip(first.tolist(), last.tolist()):
+            for lo, hi, key, _ in zip(*(x.tolist() for x in substrings.refined(raw[a : b + 200], 200))):
+                for p in range(a + lo, a + hi + 1):
+                    assert p not in found
+                    found[p] = key
+        assert sorted(found) == list(range(len(raw) - 199))
+        return [found[p + shift] for p in range(401)]
+
+    before = bytes(rng.integers(97, 101, 77, dtype=np.uint8))
+    assert keys(shared, 0) == keys(before + shared, 77) == keys(shared + before, 0)
