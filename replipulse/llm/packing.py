@@ -70,14 +70,17 @@ class Encoder:
 
             with open(ranks_path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding(
-                "ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
-            )
+            # The special token is named, as a search for none would stop at every byte.
+            special = {_SPECIAL: max(ranks.values()) + 1}
+            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
-    def ids(self, text: str) -> list[int]:
+    def array(self, text: str) -> np.ndarray:
         if self.fast and not _RARE.search(text) and _SPECIAL not in text:
-            return self.fast.encode_ordinary(text)
-        return self.exact.encode(text, add_special_tokens=False).ids
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def ids(self, text: str) -> list[int]:
+        return self.array(text).tolist()
 
 
 def _paths(tokenizer_path: str | None, ranks_path: str | None) -> tuple[str, str | None]:
@@ -102,7 +105,7 @@ def tokenized(rows: DataFrame, tokenizer_path: str | None, ranks_path: str | Non
             for a, b in in_chunks([len(t or "") for t in texts], CHUNK_CHARS):
                 ids, names, places, sizes = [], [], [], []
                 for text, source in zip(texts[a:b], sources[a:b]):
-                    found = np.array([*encoder.ids(text or ""), END], "<u4")
+                    found = np.append(encoder.array(text or ""), np.uint32(END))
                     name = source or ""
                     places.append(filled.get(name, 0))
                     filled[name] = places[-1] + len(found)
@@ -321,7 +324,7 @@ def _packer(window: int, frame_windows: int, quantum: int, with_ids: bool, kind:
         for r in rows:
             quota[number[r[1]]] += r[3]
         current = {q: None for q in queues}
-        out: list[list] = [[] for _ in names]
+        out: list[tuple] = []
         sequence = frame * frame_windows
         for sends in round_robin(quota, window, quantum):
             filled = sum(n for _, n in sends)
@@ -332,24 +335,21 @@ def _packer(window: int, frame_windows: int, quantum: int, with_ids: bool, kind:
                 while tokens:
                     if current[q] is None:
                         r = next(waiting[q])
-                        data = np.frombuffer(r[5], "<u2" if len(r[5]) == 2 * r[3] else "<u4")
-                        current[q] = (r, data, 0)
+                        data = r[5] if len(r[5]) == 4 * r[3] else np.frombuffer(r[5], "<u2").astype("<u4").tobytes()
+                        current[q] = (r, memoryview(data), 0)
                     r, data, used = current[q]
-                    take = min(tokens, len(data) - used, room)
-                    part = data[used : used + take].astype("<u4")
-                    values = [r[0], r[2] + used, take, zlib.crc32(part.tobytes()), r[4], sequence, offset]
-                    if with_ids:
-                        values.append(part.astype(np.int32))
-                    for column, value in zip(out, values):
-                        column.append(value)
-                    current[q] = (r, data, used + take) if used + take < len(data) else None
+                    take = min(tokens, r[3] - used, room)
+                    part = data[4 * used : 4 * (used + take)]
+                    values = (r[0], r[2] + used, take, zlib.crc32(part), r[4], sequence, offset)
+                    out.append((*values, np.frombuffer(part, "<i4")) if with_ids else values)
+                    current[q] = (r, data, used + take) if used + take < r[3] else None
                     tokens -= take
                     room -= take
                     offset += take
                     if not room:
                         sequence, offset = sequence + 1, 0
                         room = sizes.pop(0) if sizes else 0
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frame, rows = None, []

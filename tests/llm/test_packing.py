@@ -175,3 +175,10 @@ def test_queues_go_to_the_sources_with_most_tokens(spark, monkeypatch):
     monkeypatch.setattr(packing, "_interleaved", lambda rows, piece, f=packing._interleaved: (seen.append(rows), f(rows, piece))[1])
     packing.pack(docs, with_ids=False).collect()
     assert [r[0] for r in seen[0].select("source").distinct().collect()] == ["many"]
+
+
+@pytest.mark.parametrize("text", ["", "some plain text, 12 words", "é è", "漢字 🎉", "a <|endoftext|> b", "<|endoftext|>"])
+def test_ids_come_as_an_array(text):
+    found = FAST.array(text)
+    assert found.dtype == np.uint32
+    assert found.tolist() == FAST.exact.encode(text, add_special_tokens=False).ids
