@@ -113,6 +113,46 @@ def test_the_report_is_sorted_once(spark, sf_dir, name, stored):
     assert sum(plan_of(df).count("rangepartitioning(") for df in (*stored, final)) == 1
 
 
+def exchanges(df):
+    """Kind and column names of every exchange in a plan."""
+    found = []
+
+    def visit(node):
+        if "ShuffleExchangeExec" in node.getClass().getName():
+            output = node.output()
+            found.append((node.outputPartitioning().toString(), {output.apply(i).name() for i in range(output.size())}))
+        children = node.children()
+        for i in range(children.size()):
+            visit(children.apply(i))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    visit(plan.initialPlan() if "AdaptiveSparkPlanExec" in plan.getClass().getName() else plan)
+    return found
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("name", ["report_sections", "saved_report"])
+def test_pages_stay_where_they_are_in_the_report(spark, sf_dir, name, stored, no_broadcasts):
+    final = QUERIES[name](spark, sf_dir)
+    assert not any("payload" in columns for df in (*stored, final) for _, columns in exchanges(df))
+
+
+@pytest.mark.parametrize("name", ["report_sections", "saved_report"])
+def test_members_are_stored_once_and_texts_move_as_one(spark, sf_dir, name, stored):
+    final = QUERIES[name](spark, sf_dir)
+    assert sum("mediator_status" in df.schema.simpleString() for df in stored) == 1
+    (moved,) = [columns for df in (*stored, final) for kind, columns in exchanges(df) if "rangepartitioning" in kind]
+    assert "text" in moved and not moved & {"cells", "members", "pod", "connection", "link", "_members"}
+
+
 @pytest.fixture
 def small_partitions(spark):
     settings = {

@@ -253,3 +253,38 @@ def test_folded_reports_have_a_row_per_pod_and_the_same_rows_in_order(spark, mon
     monkeypatch.setattr(store, "TASK_ROWS", 3)
     assert report.in_order(folded, folded.count()).collect() == expected
     assert [tuple(r) for r in report.html_lines(summary, folded).collect()] == expected_html
+
+
+def test_texts_that_move_as_one_come_back_as_they_were(spark):
+    odd = ["", "\t", "\x1a", "\x1a1", "a\x1a0\tb\x1a", "\\t", "N/A", "\0"]
+    texts = spark.createDataFrame([(odd[i:] + odd[:i],) for i in range(len(odd))] + [([""],)], "cells array<string>")
+    joined = report._joined([F.transform("cells", report._escaped)])
+    assert all(r[0] == r[1] for r in texts.select("cells", report._parted(joined)).collect())
+
+
+def test_odd_members_are_shown(spark):
+    summary, _ = small_report(spark)
+    statuses = spark.createDataFrame(
+        [("w<1>", 0, 0, "a\t0", None, "N/A", "N/A", "Warning")],
+        "site string, site_pos int, array_pos bigint, array string, version string, "
+        "connections string, async_links string, sync_pods string",
+    )
+
+    def table(kind, rows):
+        return spark.createDataFrame(rows, LANDED[kind].replace("run_ts timestamp, ", ""))
+
+    pods = table("pods", [("w<1>", 0, 0, [
+        ("p\x1a1", None, None, None, 0, 0, [("m\t", "online", None, None, 0), None]),
+        (None, None, "promoted", None, 0, 0, []), ("", None, "", None, 0, 0, None),
+        ("p\x1a1", None, None, None, 0, 0, [(None, "unknown", "", None, None)]),
+    ])])
+    nothing = [table(kind, []) for kind in ("capacity", "connections", "links")]
+    rows = report.report_sections(summary, statuses, *nothing, pods).filter("kind_rank = 3")
+    none = ["N/A"] * 4
+    assert [r.cells for r in rows.orderBy(*report.row_order()).collect()] == [
+        ["a\t0", "p\x1a1", "N/A", "m\t", "\U0001F7E2 online", "N/A", "1969-12-31 16:00:00 PST"],
+        ["", "", "", *none],
+        ["a\t0", "N/A", "promoted", *none],
+        ["a\t0", "", "", *none],
+        ["", "", "", "N/A", "⭕ unknown", "", "N/A"],
+    ]
