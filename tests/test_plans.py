@@ -153,6 +153,12 @@ def test_members_are_stored_once_and_texts_move_as_one(spark, sf_dir, name, stor
     assert "text" in moved and not moved & {"cells", "members", "pod", "connection", "link", "_members"}
 
 
+def test_numbering_stores_what_is_shown(spark, sf_dir, stored):
+    final = QUERIES["saved_report"](spark, sf_dir)
+    last = stored[-1].columns
+    assert set(last) - {"_task"} == set(final.columns) - {"position"}
+
+
 @pytest.fixture
 def small_partitions(spark):
     settings = {
